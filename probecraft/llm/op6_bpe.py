@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words in the lexicon, and words remembered by a task before it starts afresh.
-LEXICON_WORDS, MEMO_WORDS = 50_000, 300_000
+LEXICON_WORDS, MEMO_WORDS = 100_000, 300_000
 #: The word pattern of the vocabulary file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MAGIC = b"PCLEX001"
@@ -112,12 +112,19 @@ class Vocabulary:
         symbols[-1] += self.suffix
         if len(symbols) > 200:
             return self._merge_long(symbols)
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 60:
+        get, none = self.ranks.get, 1 << 60
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
+            at = ranks.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((symbols[at - 1], symbols[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((symbols[at], symbols[at + 1]), none)
         return [self.ids[s] for s in symbols if s in self.ids]
 
     def _merge_long(self, symbols: list[str]) -> list[int]:
