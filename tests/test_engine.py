@@ -1,0 +1,191 @@
+"""Goldens and differential tests of the engine."""
+
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from probecraft.functions import text as T
+from probecraft.operators import chunking, retrieval as R
+from probecraft.plans import experiment as X
+from probecraft.sources import corpus
+from probecraft.streaming import events as E
+
+COUNTS = [
+    ("One. Two. Three.", 3),
+    ("Revenue fell 3.5% in Q2. It recovered later.", 2),
+    ("Dr. Chen signed it. She left in May.", 2),
+    ("The vendor (e.g. Acme) was late. We rebid.", 2),
+    ("J. R. Hartley wrote it. Nobody read it.", 2),
+    ("Is it done? Yes! Finally.", 3),
+    ('She said "it slipped." Then she left.', 2),
+    ("See www.example.com for details. It is stale.", 2),
+    ("Approx. 40 units shipped. The rest were held.", 2),
+    ("No trailing terminator here", 1),
+    ("", 0),
+    ("   \n  ", 0),
+    (None, 0),
+]
+
+
+def test_sentences(spark):
+    rows = spark.createDataFrame([(t, n) for t, n in COUNTS], "text string, n int")
+    for r in rows.select("text", "n", T.sentence_spans(F.col("text")).alias("s")).collect():
+        assert len(r["s"]) == r["n"], r["text"]
+        assert all(r["text"][s["start"] : s["end"]] == s["text"] for s in r["s"])
+
+
+def test_claims(spark):
+    cases = {
+        "The rollout slipped by six weeks.": True,
+        "It cost 2.1 million dollars.": True,
+        "Here is what I found:": False,
+        "I hope this helps.": False,
+        "The documents do not say when it ended.": False,
+        "Let me know if you want more.": False,
+        "---": False,
+        "Summary only": False,
+        "Based on the excerpts, the crew included Amara.": True,
+        "According to the documents, nothing.": False,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.carries_a_claim(F.col("s")).alias("c")).collect()
+    assert {r["s"]: r["c"] for r in rows} == cases
+
+
+def packed(spans, target, overlap, most):
+    """The packing rule as a plain loop over (text, start, end)."""
+    count = lambda s: len(s[0].split())
+    cover = lambda g: (" ".join(s[0] for s in g), g[0][1], g[-1][2])
+    out, group = [], []
+    for s in spans:
+        if not group and count(s) > most:
+            words = list(re.finditer(r"\S+", s[0]))
+            for i in range(0, len(words), most):
+                a, b = words[i].start(), words[min(i + most, len(words)) - 1].end()
+                out.append((s[0][a:b], s[1] + a, s[1] + b))
+            continue
+        group.append(s)
+        if sum(map(count, group)) >= target:
+            out.append(cover(group))
+            keep = min(overlap, len(group) - 1)
+            group = group[len(group) - keep :] if keep else []
+    if group and (not out or cover(group) != out[-1]):
+        out.append(cover(group))
+    return out
+
+
+@pytest.mark.parametrize("policy", [(10, 1, 14), (6, 0, 6), (3, 2, 9), (18, 1, 40)])
+def test_chunks(spark, policy):
+    rng = random.Random(str(policy))
+    texts = []
+    for _ in range(60):
+        texts.append(" ".join(" ".join(rng.choices(["Aa", "bb", "cc  dd", "é"], k=rng.randint(1, 20))).capitalize() + "." for _ in range(rng.randint(0, 9))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(s) for s in r["s"]] for r in docs.select("doc_id", T.sentence_spans(F.col("text")).alias("s")).collect()}
+    found = {}
+    for r in chunking.chunk_documents(docs, chunking.ChunkingPolicy(*policy)).orderBy("doc_id", "ordinal").collect():
+        assert r["chunk_id"] == f"{r['doc_id']}#{r['ordinal']}"
+        found.setdefault(r["doc_id"], []).append((r["text"], r["start"], r["end"]))
+    for i in spans:
+        assert found.get(i, []) == packed(spans[i], *policy), i
+
+
+def test_policies_reject():
+    for bad in (lambda: chunking.ChunkingPolicy(0), lambda: chunking.ChunkingPolicy(10, 0, 5), lambda: R.RetrievalPolicy(top_k=0), lambda: R.RetrievalPolicy(diversity=2), lambda: X.AblationPolicy(support_threshold=0), lambda: X.AblationPolicy(max_runs=1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_mmr_prefers_variety():
+    same = np.array([1.0, 0.0])
+    pool = [(0.9, same, False), (0.89, same, False), (0.5, np.array([0.0, 1.0]), False)]
+    assert R.mmr(pool, 2, 0.0) == [0, 1] and R.mmr(pool, 2, 0.6) == [0, 2]
+    assert R.mmr([(0.9, same, False), (0.89, same, True), (0.5, np.array([0.0, 1.0]), False)], 2, 0.6) == [0, 1]
+
+
+def test_verdicts_of_one_claim(spark):
+    """One chunk matters, one not at all, one just under the share of the strongest."""
+    runs = [("closed", None, 0.10), ("control", None, 0.95), ("loo", "A#0", 0.20), ("loo", "B#0", 0.97), ("loo", "C#0", 0.51)]
+    rows = [("q", 0, True, k, c, i, s) for i, (k, c, s) in enumerate(runs)] + [("q", 1, True, k, c, i, 0.8 if k == "closed" else 0.97) for i, (k, c, s) in enumerate(runs)] + [("q", 2, False, "closed", None, 0, 1.0)]
+    scores = spark.createDataFrame(rows, "qid string, claim_idx int, checkable boolean, kind string, chunk_id string, position int, survival double")
+    out = {r["claim_idx"]: r for r in X.first_pass(scores, X.AblationPolicy()).collect()}
+    assert out[0]["verdict"] == "grounded" and [s["chunk_id"] for s in out[0]["support"] if s["credited"]] == ["A#0"]
+    assert abs(out[0]["noise"] - 0.05) < 1e-9 and abs(out[0]["support"][0]["effect"] - 0.75) < 1e-9
+    assert out[1]["verdict"] == "model_memory" and out[2]["verdict"] == "no_claim" and out[2]["support"] == []
+
+
+def test_scripted_ablation_end_to_end(spark):
+    """A sentence that one excerpt causes is grounded in it; one that is said anyway is memory."""
+    chunks = [("q", 0, "budget#0", "It cost 2.1 million dollars."), ("q", 1, "memo#0", "The rollout slipped."), ("q", 2, "log#0", "Nothing else happened.")]
+    got = spark.createDataFrame(chunks, "qid string, position int, chunk_id string, text string")
+    rules = spark.createDataFrame([(0, "2.1 million", "The project cost 2.1 million dollars."), (1, "", "Water boils at one hundred degrees.")], "rule_ord int, trigger string, sentence string")
+    policy = X.AblationPolicy()
+    plan = X.base_plan(got, policy)
+    full = plan.select("qid").distinct().select("qid", F.lit(-1).alias("run_seq"), F.lit("full").alias("run_id"), F.lit("full").alias("kind"), F.array().cast("array<string>").alias("removed"), F.lit(False).alias("truncated"))
+    asked = X.requests(X.visible(plan.unionByName(full), got), spark.createDataFrame([("q", "What did it cost?")], "qid string, question string"))
+    answers = X.replay(asked, X.scripted(asked, rules)).withColumn("s", F.explode(T.sentences(F.col("answer"))))
+    claims = answers.filter("kind = 'full'").select("qid", "s").withColumn("claim_idx", F.when(F.col("s").contains("cost"), 0).otherwise(1))
+    pairs = claims.join(answers.select("qid", "run_id", F.col("s").alias("t")), "qid").select("qid", "claim_idx", "run_id", (F.col("s") == F.col("t")).cast("double").alias("similarity"))
+    alive = X.survival(pairs, claims, plan).join(plan, ["qid", "run_id"])
+    scores = alive.select("qid", "claim_idx", F.lit(True).alias("checkable"), "kind", F.get("removed", F.lit(0)).alias("chunk_id"), F.col("run_seq").alias("position"), "survival")
+    out = {r["claim_idx"]: r for r in X.first_pass(scores, policy).collect()}
+    assert out[0]["verdict"] == "grounded" and [s["chunk_id"] for s in out[0]["support"] if s["credited"]] == ["budget#0"]
+    assert out[1]["verdict"] == "model_memory"
+    with pytest.raises(LookupError):
+        X.replay(asked, X.scripted(asked, rules).filter("false"))
+
+
+def test_sources(spark, tmp_path):
+    folder = tmp_path / "docs"
+    (folder / "first").mkdir(parents=True)
+    (folder / "first" / "note.md").write_text("# Title here\n\nBody.")
+    (folder / "b.txt").write_text("\n\nplain")
+    (folder / "c.bin").write_text("x")
+    rows = {r["doc_id"]: r for r in corpus.validate_documents(corpus.load_documents(spark, str(folder))).collect()}
+    assert set(rows) == {"first/note", "b"} and rows["first/note"]["title"] == "Title here"
+    lines = tmp_path / "x.jsonl"
+    lines.write_text('{"id": "a", "text": "one", "title": "T"}\n\n{"text": "two"}\n')
+    rows = {r["doc_id"]: r for r in corpus.load_documents(spark, str(lines)).collect()}
+    assert set(rows) == {"a", "3"} and rows["3"]["title"] == "document 3" and rows["a"]["meta"]["line"] == "1"
+    lines.write_text('{"id": "a", "text": "one"}\nnot json\n')
+    with pytest.raises(corpus.CorpusError, match="line 2"):
+        corpus.load_documents(spark, str(lines))
+    lines.write_text('{"id": "a", "text": "one"}\n{"id": "a", "text": "two"}\n')
+    with pytest.raises(corpus.CorpusError, match="line 1.*line 2"):
+        corpus.validate_documents(corpus.load_documents(spark, str(lines)))
+    with pytest.raises(FileNotFoundError):
+        corpus.load_documents(spark, str(tmp_path / "none"))
+    (tmp_path / "questions.txt").write_text("# no\n\n  One?  \n")
+    assert [r[0] for r in corpus.sidecar_lines(spark, str(tmp_path / "questions.txt")).collect()] == ["One?"]
+    (tmp_path / "probes.json").write_text(json.dumps({"probes": [{"question": "q", "document": "d", "phrase": "p"}]}))
+    assert corpus.sidecar_json(spark, str(tmp_path / "probes.json"), "probes", "question string, document string, phrase string").first()["document"] == "d"
+
+
+def test_vector_cache(spark, tmp_path):
+    texts = spark.createDataFrame([("alpha beta",), ("alpha beta",), ("gamma",)], "text string")
+    vectors = R.blake_vectors(texts, 64)
+    assert all(abs(np.linalg.norm(r["vec"]) - 1) < 1e-5 for r in vectors.collect())
+    corpus.write_vectors(vectors.select(T.vector_key(F.col("text")).alias("text_key"), "vec"), str(tmp_path / "v"), "ngram", 64)
+    assert corpus.read_vectors(spark, str(tmp_path / "v"), "ngram", 64).count() == 2
+    assert corpus.read_vectors(spark, str(tmp_path / "v"), "ngram", 32).count() == 0
+    assert R.embed_missing(spark.createDataFrame([("delta",), ("gamma",)], "text string"), vectors, lambda t: R.blake_vectors(t, 64)).count() == 3
+
+
+def test_stream_fold_equals_batch(spark, tmp_path):
+    rows = [(i, i % 3, "run" if i % 2 else "done", float(i)) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, user_id int, event_type string, value double")
+    events.repartition(4).write.parquet(str(tmp_path / "e"))
+    stream = E.latest(E.read_stream(spark, str(tmp_path / "e"), events.schema), "user_id", "event_type")
+    query = stream.writeStream.format("memory").queryName("folded").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, E.latest(events, "user_id", "event_type").collect()))
+
+
+def test_entry_points(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
+    assert e.entry(spark).columns == ["qid", "chunk_id", "score", "rank"]
