@@ -121,14 +121,16 @@ def with_posterior(docs: DataFrame, model: dict) -> DataFrame:
     return out.drop("_set", "_logit", "_e", *(c for c in out.columns if c.startswith("_m_")))
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """Replay of projected steps from rate 1."""
-    if not steps:
-        return F.lit(1.0)
-    history = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
-    p = F.col("posterior")
-    dot = lambda g: sum((p[i] * g[i] for i in range(1, len(steps[0]))), p[0] * g[0])
-    return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+def rated(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+    """rows (with posterior) with rate: the replay of projected steps from rate 1.
+
+    The steps come as a column of one broadcast row of at most STEPS vectors, so that every round has one plan and one compiled stage.
+    """
+    vectors = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps)) if steps else F.array().cast("array<array<double>>")
+    history = rows.sparkSession.range(1).select(vectors.cast("array<array<double>>").alias("_history"))
+    dot = lambda g: F.aggregate(F.zip_with("posterior", g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    replay = F.aggregate("_history", F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    return rows.join(F.broadcast(history)).withColumn("rate", replay).drop("_history")
 
 
 def fit_rates(posteriors: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> list[np.ndarray]:
@@ -145,7 +147,7 @@ def fit_rates(posteriors: DataFrame, domains: list[str], targets: dict[str, floa
     out: list[np.ndarray] = []
     last = np.full(k, np.inf)
     for _ in range(steps):
-        weighed = posteriors.select(p.alias("posterior"), (rate(out) * t).alias("w"))
+        weighed = rated(posteriors, out).select("posterior", (F.col("rate") * t).alias("w"))
         got = weighed.agg(*(F.sum(F.col("w") * p[i]).alias(str(i)) for i in range(k))).first()
         error = np.array([got[str(i)] for i in range(k)]) - wanted
         if min(np.abs(error).sum(), np.abs(error - last).sum()) <= TOLERANCE * first["t"]:
@@ -162,7 +164,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     posteriors = scratch.write(with_posterior(docs.select("text"), model).select("tokens", "posterior"))
     steps = fit_rates(posteriors, model["domains"], targets or TARGETS)
     scratch.drop(posteriors)
-    return with_posterior(docs, model).withColumn("rate", rate(steps))
+    return rated(with_posterior(docs, model), steps)
 
 
 def resample(mixed: DataFrame, seed: int = 11) -> DataFrame:
