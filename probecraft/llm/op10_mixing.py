@@ -39,11 +39,10 @@ def measures(text: Column, ws: Column, distinct: Column) -> dict[str, Column]:
     """Shape of a text, 0 to 1 or a logarithm."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t) + F.lit(1.0)
-    kept = lambda chars: F.length(F.translate(t, chars, ""))
     return {
-        "symbols": (F.length(t) - kept("#*$%&|<>!@=~^{}[]\\_")) / n,
-        "digits": (F.length(t) - kept("0123456789")) / n,
-        "capitals": (F.length(t) - kept("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / n,
+        "symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>!@=~^{}\[\]\\_]")) / n,
+        "digits": F.regexp_count(t, F.lit("[0-9]+")) / n,
+        "capitals": F.regexp_count(t, F.lit("[A-Z]{2,}")) / n,
         "variety": F.size(distinct) / (F.size(ws) + F.lit(1.0)),
         "length": F.log(n),
     }
