@@ -156,12 +156,16 @@ def fit_rates(posteriors: DataFrame, domains: list[str], targets: dict[str, floa
     return out
 
 
-def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with tokens, domain, posterior and rate."""
+def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, texts: bool = True) -> DataFrame:
+    """docs with tokens, domain, posterior and rate; without texts every text is looked at once only."""
     scratch = Scratch(spark)
     model = fit(docs, labels, scratch)
+    wanted = targets or TARGETS
+    if not texts:
+        known = scratch.write(with_posterior(docs, model).drop("text"))
+        return rated(known, fit_rates(known.select("tokens", "posterior"), model["domains"], wanted))
     posteriors = scratch.write(with_posterior(docs.select("text"), model).select("tokens", "posterior"))
-    steps = fit_rates(posteriors, model["domains"], targets or TARGETS)
+    steps = fit_rates(posteriors, model["domains"], wanted)
     scratch.drop(posteriors)
     return rated(with_posterior(docs, model), steps)
 
@@ -175,7 +179,7 @@ def resample(mixed: DataFrame, seed: int = 11) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    mixed = mix(spark, docs.select("doc_id", "text"), labels)
+    mixed = mix(spark, docs.select("doc_id", "text"), labels, texts=False)
     return mixed.select("doc_id", "tokens", "domain", F.array_max("posterior").alias("certainty"), "rate")
 
 
