@@ -11,6 +11,8 @@ encoded alike; very long texts are encoded whole; further columns are kept by ``
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import json
 import mmap
@@ -21,19 +23,21 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words in the lexicon, and words remembered by a task before it starts afresh.
 LEXICON_WORDS, MEMO_WORDS = 100_000, 300_000
+#: Ids of a batch, beyond which their strings are joined without Arrow.
+ARROW_IDS = 20_000_000
 #: The word pattern of the vocabulary file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MAGIC = b"PCLEX001"
-#: White space to Python but not to the pattern.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+MAGIC = b"PCLEX002"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -83,12 +87,13 @@ class Vocabulary:
         """Words of a text without special tokens."""
         return self.find(self.normal(text))
 
-    def runs(self, text: str) -> list[str] | None:
-        """Runs between white space of a normal text, none of which shares a word with another; None if it has
-        special tokens or separators that the pattern doesn't take as white space."""
-        if "<|" in text or any(c in text for c in SEPARATORS):
-            return None
-        return self.normal(text).split()
+    def spaced(self, text: str) -> str | None:
+        """The normal text, whose runs between spaces share no word; None if it has special tokens."""
+        return None if "<|" in text else self.normal(text).replace("\n", " ")
+
+    def words(self, run: str) -> list[str]:
+        """Words of a run."""
+        return [run] if run.isascii() and run.isalpha() else self.find(run)
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
@@ -187,19 +192,17 @@ def build_lexicon(words: Iterable[bytes], outputs: dict[bytes, list[int]], path:
         done = freeze(stack.pop())
         stack[-1][1].append((letters.pop(), done))
     root = freeze(stack.pop())
-    first = np.cumsum([0, *(len(s[1]) for s in states)]).astype("<u4")
-    flat = [e for s in states for e in s[1]]
+    flat = [(n << 8 | e[0], e[1], e[2]) for n, s in enumerate(states) for e in s[1]]
     columns = [
-        first,
         np.array([s[0] for s in states], np.uint8),
-        np.array([e[0] for e in flat], np.uint8),
+        np.array([e[0] for e in flat], "<u8"),
         np.array([e[1] for e in flat], "<u4"),
         np.array([e[2] for e in flat], "<u4"),
         np.cumsum([0, *(len(outputs[w]) for w in words)]).astype("<u4"),
         np.array([i for w in words for i in outputs[w]], "<u4"),
     ]
     with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<Q", root) + struct.pack("<7Q", *map(len, columns)))
+        f.write(MAGIC + struct.pack("<Q", root) + struct.pack("<6Q", *map(len, columns)))
         for c in columns:
             f.write(c.tobytes() + bytes(-c.nbytes % 8))
 
@@ -213,65 +216,164 @@ class Lexicon:
         if self.data[:8] != MAGIC:
             raise ValueError(f"{path} is not a lexicon")
         self.root = struct.unpack_from("<Q", self.data, 8)[0]
-        sizes, at = struct.unpack_from("<7Q", self.data, 16), 16 + 56
+        sizes, at = struct.unpack_from("<6Q", self.data, 16), 16 + 48
         views = []
-        for n, kind in zip(sizes, ("<u4", "u1", "u1", "<u4", "<u4", "<u4", "<u4"), strict=True):
+        for n, kind in zip(sizes, ("u1", "<u8", "<u4", "<u4", "<u4", "<u4"), strict=True):
             views.append(np.frombuffer(self.data, kind, n, at))
             at += views[-1].nbytes + -views[-1].nbytes % 8
-        self.first, self.final, self.byte, self.target, self.output, self.start, self.ids = map(memoryview, views)
+        self.final, self.edge, self.target, self.output, self.start, self.ids = views
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 where it is not in the lexicon; all words take their next byte at a time."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(size) - size
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        out = np.full(len(words), -1, np.int64)
+        live = np.arange(len(words))
+        state, number, depth = np.full(len(words), self.root, np.uint64), np.zeros(len(words), np.int64), 0
+        while len(live):
+            done = size[live] == depth
+            ended = done & (self.final[state] == 1)
+            out[live[ended]] = number[ended]
+            live, state, number = live[~done], state[~done], number[~done]
+            if not len(live) or not len(self.edge):
+                break
+            key = state << np.uint64(8) | letters[at[live] + depth]
+            edge = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            found = self.edge[edge] == key
+            live, edge = live[found], edge[found]
+            state, number = self.target[edge].astype(np.uint64), number[found] + self.output[edge]
+            depth += 1
+        return out
+
+    def many(self, words: list[bytes]) -> list[list[int] | None]:
+        ids, start = self.ids, self.start
+        return [None if n < 0 else ids[start[n] : start[n + 1]].tolist() for n in self.numbers(words).tolist()]
 
     def get(self, word: bytes) -> list[int] | None:
-        state, number = self.root, 0
-        first, byte = self.first, self.byte
-        for b in word:
-            lo, end = first[state], first[state + 1]
-            hi = end
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if byte[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or byte[lo] != b:
-                return None
-            number += self.output[lo]
-            state = self.target[lo]
-        if not self.final[state]:
-            return None
-        return self.ids[self.start[number] : self.start[number + 1]].tolist()
+        return self.many([word])[0]
+
+
+class Merger:
+    """Exact merges of many words at once by tiktoken.
+
+    That library ranks a pair by the token it makes, whatever its parts. A token whose own making takes only
+    pairs of the merge list, at their ranks, is made alike in every word; words with any other token (``odd``), and
+    long ones, are merged one by one. A line feed, which no word holds, ends words in place of the suffix.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, odd: Iterable[int] | None = None):
+        import tiktoken
+
+        back = {c: bytes([b]) for b, c in enumerate(vocabulary.letters)}
+        whole = lambda t: b"".join(map(back.__getitem__, t.removesuffix(vocabulary.suffix))) + b"\n" * t.endswith(vocabulary.suffix)
+        ids, letters = vocabulary.ids, vocabulary.letters
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 10]): 256 + b for b in range(256)}
+        to_id = [ids.get(c, -1) for c in letters] + [ids.get(c + vocabulary.suffix, -1) for c in letters]
+        self.pairs = {}
+        for (a, b), i in vocabulary.ranks.items():
+            self.pairs[whole(a), whole(b)] = 512 + i
+            ranks.setdefault(whole(a) + whole(b), 512 + i)
+            to_id.append(ids.get(a + b, -1))
+        self.vocabulary, self.ranks, self.to_id = vocabulary, ranks, np.array(to_id)
+        self.odd = self.unlike() if odd is None else list(odd)
+        self.is_odd = np.zeros(len(to_id), bool)
+        self.is_odd[self.odd] = True
+        self.is_odd |= self.to_id < 0
+        self.is_end = np.zeros(len(to_id), bool)
+        self.is_end[[r for t, r in ranks.items() if t[-1] == 10]] = True
+        self.encode = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def unlike(self) -> list[int]:
+        """Ranks of the tokens whose making takes a pair outside the merge list."""
+        ranks, pairs, out = self.ranks, self.pairs, []
+        for token, rank in ranks.items():
+            if rank < 512:
+                continue
+            parts = [token[i : i + 1] for i in range(len(token))]
+            if parts[-1] == b"\n":
+                parts[-2:] = [parts[-2] + b"\n"]
+            while len(parts) > 1:
+                best, i = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if pairs.get((parts[i], parts[i + 1])) != best:
+                    out.append(rank)
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return out
+
+    def many(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; words are neither empty nor special tokens and hold no line feed."""
+        slow = self.vocabulary.merge
+        short = [w for w in words if len(w) <= 200]
+        if not short:
+            return [slow(w) for w in words]
+        got = np.array(self.encode("\n".join(short) + "\n"))
+        edge = np.flatnonzero(self.is_end[got]) + 1
+        odd = np.logical_or.reduceat(self.is_odd[got], np.concatenate([[0], edge[:-1]])).tolist()
+        ids, edge = self.to_id[got].tolist(), [0, *edge.tolist()]
+        fast = iter([slow(w) if o else ids[a:b] for w, o, a, b in zip(short, odd, edge[:-1], edge[1:], strict=True)])
+        return [next(fast) if len(w) <= 200 else slow(w) for w in words]
+
+
+@functools.cache
+def vocabulary_of(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def chunks(texts: pa.Array, limit: int = 1 << 22) -> Iterator[list[str | None]]:
+    """Whole texts, in order, in lists of about limit characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def indexed_runs(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+    """Distinct runs of the texts, the run at each place, the first place of each text (and the end), and the texts that have no runs."""
+    spaced = [vocabulary.spaced(t or "") for t in texts]
+    runs = pc.split_pattern(pa.array([s or "" for s in spaced], pa.large_string()), " ")
+    coded = runs.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), runs.offsets.to_numpy(), [i for i, s in enumerate(spaced) if s is None]
 
 
 def frequent_words(texts: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
     """The words with the highest counts over all texts; ties go to the smaller word."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, runs = Vocabulary(path), Counter()
+        vocabulary, runs = vocabulary_of(path), Counter()
 
         def flush() -> pa.RecordBatch:
             counts: Counter = Counter()
             for run, n in runs.items():
-                for w in vocabulary.find(run):
+                for w in vocabulary.words(run):
                     counts[w] += n
             runs.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
         for b in it:
-            for t in b.column(0).to_pylist():
-                if t:
-                    found = vocabulary.runs(t)
-                    runs.update(vocabulary.split(t) if found is None else found)
-            if len(runs) > MEMO_WORDS:
-                yield flush()
+            for texts in chunks(b.column(0)):
+                distinct, place, _, odd = indexed_runs(vocabulary, texts)
+                for r, n in zip(distinct, np.bincount(place, minlength=len(distinct)).tolist(), strict=True):
+                    runs[r] += n
+                for i in odd:
+                    runs.update(vocabulary.split(texts[i]))
+                if len(runs) > MEMO_WORDS:
+                    yield flush()
         yield flush()
 
     counted = texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(limit).collect()]
 
 
-def compile_lexicon(spark: SparkSession, texts: DataFrame, path: str, limit: int = LEXICON_WORDS) -> str:
+def compile_lexicon(spark: SparkSession, texts: DataFrame, merger: Merger, path: str, limit: int = LEXICON_WORDS) -> str:
     """Build the lexicon and hand it to every executor; returns its name for SparkFiles."""
-    vocabulary = Vocabulary(path)
-    outputs = {w.encode(): vocabulary.merge(w) for w in frequent_words(texts, path, limit)}
+    words = frequent_words(texts, path, limit)
+    outputs = {w.encode(): ids for w, ids in zip(words, merger.many(words), strict=True)}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="probecraft-lexicon-")  # executors fetch it from the driver, also those that start later
     build_lexicon(sorted(outputs), outputs, f"{folder}/{name}")
@@ -280,74 +382,116 @@ def compile_lexicon(spark: SparkSession, texts: DataFrame, path: str, limit: int
 
 
 class Codec:
-    """Encodes and decodes texts; words and runs between white space are remembered up to a bound."""
+    """Encodes and decodes texts; runs between white space are remembered up to a bound."""
 
-    def __init__(self, path: str, lexicon: str | None = None):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, lexicon: str | None = None, odd: Iterable[int] | None = None):
+        self.vocabulary = vocabulary_of(path)
+        self.merger = Merger(self.vocabulary, odd)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, tuple[list[int], str, str]] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.lexicon.get(word.encode("utf-8", "replace")) if self.lexicon and word not in self.vocabulary.special else None
-            if ids is None:
-                ids = self.vocabulary.merge(word)
-            if len(self.words) > MEMO_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def coded(self, words: Iterable[str]) -> tuple[list[int], str, str]:
-        ids = [i for w in words for i in self.word(w)]
-        return ids, " ".join(map(str, ids)), self.decode(ids)
-
-    def parts(self, text: str | None) -> list[tuple[list[int], str, str]]:
-        runs, known = self.vocabulary.runs(text or ""), self.runs
-        if runs is None:
-            return [self.coded(self.vocabulary.pieces(text))]
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        for r in set(runs).difference(known):
-            known[r] = self.coded(self.vocabulary.find(r))
-        return [known[r] for r in runs]
+        self.runs: dict[str, list[int]] = {}
+        tokens = self.vocabulary.tokens
+        self.numerals = pa.array([str(i) for i in range(max(tokens) + 1)])
+        self.spellings = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
+
+    def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of the distinct words: from the memory, the lexicon, or else merged."""
+        words = list(dict.fromkeys(words))
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        if self.lexicon and new:
+            for w, ids in zip(new, self.lexicon.many([w.encode() for w in new]), strict=True):
+                if ids is not None:
+                    self.words[w] = ids
+            new = [w for w in new if w not in self.words]
+        if new:
+            self.words.update(zip(new, self.merger.many(new), strict=True))
+        return self.words
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        special = self.vocabulary.special
+        known = self.learn(p for p in pieces if p not in special)
+        return [i for p in pieces for i in ([special[p]] if p in special else known[p])]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.parts(text) for i in p[0]]
+        return self.ids_of(self.vocabulary.pieces(text or ""))
 
     def decode(self, ids: Iterable[int]) -> str:
         tokens = self.vocabulary.tokens
         return " ".join(tokens[i] for i in ids if i in tokens)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
+    def coded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs, one after another, and the first of each run (and the end)."""
+        if len(self.runs) > MEMO_WORDS:
+            self.runs.clear()
+        new = [r for r in runs if r not in self.runs]
+        split = [self.vocabulary.words(r) for r in new]
+        known = self.learn(chain.from_iterable(split))
+        for r, ws in zip(new, split, strict=True):
+            self.runs[r] = known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]
+        found = [self.runs[r] for r in runs]
+        first = np.cumsum([0, *map(len, found)])
+        return np.fromiter(chain.from_iterable(found), np.int64, first[-1]), first
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and the first of each text (and the end)."""
+        distinct, place, edge, odd = indexed_runs(self.vocabulary, texts)
+        ids, first = self.coded(distinct)
+        size = np.diff(first)[place]
+        end = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.arange(end[-1]) + np.repeat(first[place] - end[:-1], size)]
+        start = end[edge]
+        for i in reversed(odd):
+            own = self.encode(texts[i])
+            flat = np.concatenate([flat[: start[i]], np.array(own, np.int64), flat[start[i] :]])
+            start[i + 1 :] += len(own)
+        return flat, start
+
+    def strings(self, flat: np.ndarray, start: np.ndarray) -> list[list[str]]:
+        """For each text the ids in decimal, and what they decode to."""
+        out = []
+        for names in (self.numerals, self.spellings):
+            if len(flat) > ARROW_IDS:  # a string array of Arrow ends at 2 GB
+                listed = names.to_pylist()
+                out.append([" ".join([listed[i] for i in flat[a:b]]) for a, b in zip(start[:-1], start[1:], strict=True)])
+            else:
+                out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(start, pa.int32()), names.take(pa.array(flat))), " ").to_pylist())
+        return out
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, and the digests of the ids as text and of what they decode to."""
-        got = [p for p in self.parts(text) if p[0]]
-        ids, decoded = " ".join([p[1] for p in got]).encode(), " ".join([p[2] for p in got]).encode()
-        return ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        flat, start = self.many(texts)
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        return [(n, digest(a), digest(b)) for n, a, b in zip(np.diff(start).tolist(), *self.strings(flat, start), strict=True)]
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
-    """The columns of docs with token_ids and decoded (ids=True), or with n_tokens and the two digests."""
+    """The columns of docs with token_ids and decoded (ids=True), or doc_id with n_tokens and the two digests."""
     path = path or vocabulary_path()
     new = "token_ids array<int>, decoded string" if ids else "n_tokens long, ids_sha256 string, decoded_sha256 string"
     names = [x.split()[0] for x in new.split(", ")]
     docs = docs.drop(*names)
-    name = compile_lexicon(spark, docs, path)
+    merger = Merger(vocabulary_of(path))
+    name, odd = compile_lexicon(spark, docs, merger, path), merger.odd
     at, columns = docs.columns.index("text"), docs.columns
     kept = columns if ids else [c for c in columns if c == "doc_id"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, SparkFiles.get(name))
+        codec = Codec(path, SparkFiles.get(name), odd)
+        gc.disable()  # many small lists, none in a cycle
         for b in it:
-            texts = b.column(at).to_pylist()
-            if ids:
-                coded = [codec.encode(t) for t in texts]
-                new = [pa.array(coded, pa.list_(pa.int32())), pa.array([codec.decode(c) for c in coded], pa.string())]
-            else:
-                got = [codec.digest(t) for t in texts]
-                new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(columns.index(c)) for c in kept), *new], names=[*kept, *names])
+            first = 0
+            for texts in chunks(b.column(at)):
+                if ids:
+                    flat, start = codec.many(texts)
+                    new = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(flat, pa.int32())), pa.array(codec.strings(flat, start)[1], pa.string())]
+                else:
+                    got = codec.digests(texts)
+                    new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(columns.index(c)).slice(first, len(texts)) for c in kept), *new], names=[*kept, *names])
+                first += len(texts)
+        gc.enable()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(run, f"{schema}, {new}")

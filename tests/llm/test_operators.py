@@ -215,6 +215,29 @@ def test_bpe_odd_letters():
     assert codec.encode(word) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_bpe_merger():
+    vocabulary, rng = op6_bpe.Vocabulary(op6_bpe.vocabulary_path()), random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu\u00e9\u4e2d", k=rng.randint(1, 12))) for _ in range(3000)] + ["long" * 100, "x"]
+    want = [vocabulary.merge(w) for w in words]
+    merger = op6_bpe.Merger(vocabulary)
+    assert merger.many(words) == want and merger.many([]) == []
+    odd = sorted({merger.ranks[b"th"], merger.ranks[b"e\n"]})
+    assert op6_bpe.Merger(vocabulary, odd).many(words) == want  # these are merged one by one
+
+
+def test_bpe_batches():
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(op6_bpe.vocabulary_path()), op6_bpe.Codec(op6_bpe.vocabulary_path())
+    texts = ["a  b\tc\n\nd", None, "", "x <|endoftext|> y", " ", "it's 12 <|startoftext|>", "plain words", "<|endoftext|>", "\x1c\u2028z\u00a0"]
+    flat, start = codec.many(texts)
+    numerals, decoded = codec.strings(flat, start)
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert flat[start[i] : start[i + 1]].tolist() == ids and numerals[i] == " ".join(map(str, ids))
+        assert decoded[i] == library.decode(ids, skip_special_tokens=False)
+
+
 def test_lexicon_round_trip(tmp_path):
     words = sorted({w.encode() for w in ["a", "ab", "abc", "b", "bc", "é", "zz", "running", "gunning", "stunning"]})
     outputs = {w: [len(w), *w] for w in words}
