@@ -157,17 +157,16 @@ def fit_rates(posteriors: DataFrame, domains: list[str], targets: dict[str, floa
 
 
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, texts: bool = True) -> DataFrame:
-    """docs with tokens, domain, posterior and rate; without texts every text is looked at once only."""
+    """docs with tokens, domain, posterior and rate, without their text if texts is False.
+
+    Each text is looked at once: posteriors are written with the rows, as an optimiser that puts their
+    expressions into the replay and into later filters would evaluate them many times a row.
+    """
     scratch = Scratch(spark)
     model = fit(docs, labels, scratch)
-    wanted = targets or TARGETS
-    if not texts:
-        known = scratch.write(with_posterior(docs, model).drop("text"))
-        return rated(known, fit_rates(known.select("tokens", "posterior"), model["domains"], wanted))
-    posteriors = scratch.write(with_posterior(docs.select("text"), model).select("tokens", "posterior"))
-    steps = fit_rates(posteriors, model["domains"], wanted)
-    scratch.drop(posteriors)
-    return rated(with_posterior(docs, model), steps)
+    known = with_posterior(docs, model)
+    known = scratch.write(known if texts else known.drop("text"))
+    return rated(known, fit_rates(known.select("tokens", "posterior"), model["domains"], targets or TARGETS))
 
 
 def resample(mixed: DataFrame, seed: int = 11) -> DataFrame:
