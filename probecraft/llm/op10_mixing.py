@@ -123,13 +123,11 @@ def with_posterior(docs: DataFrame, model: dict) -> DataFrame:
 def rated(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
     """rows (with posterior) with rate: the replay of projected steps from rate 1.
 
-    The steps come as a column of one broadcast row of at most STEPS vectors, so that every round has one plan and one compiled stage.
+    The at most STEPS vectors are one array, which folds into a single literal, so that every round has one compiled stage.
     """
-    vectors = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps)) if steps else F.array().cast("array<array<double>>")
-    history = rows.sparkSession.range(1).select(vectors.cast("array<array<double>>").alias("_history"))
+    vectors = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps)).cast("array<array<double>>")
     dot = lambda g: F.aggregate(F.zip_with("posterior", g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    replay = F.aggregate("_history", F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
-    return rows.join(F.broadcast(history)).withColumn("rate", replay).drop("_history")
+    return rows.withColumn("rate", F.aggregate(vectors, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g))))
 
 
 def fit_rates(posteriors: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> list[np.ndarray]:
