@@ -399,8 +399,8 @@ FOLD = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 
 @registered(f"SELECT item_id, count(doc_id)::BIGINT AS n_docs, count(doc_id) = 1 AS is_unique FROM benchmark b LEFT JOIN documents d ON contains({FOLD.format('d.text')}, left({FOLD.format('b.text')}, 80)) GROUP BY item_id")
 def probe_uniqueness(spark, sf):
-    """Phrases are the small side of a substring join, so documents are read once and never shuffled."""
-    phrases = table(spark, sf, "benchmark").select("item_id", F.left(T.folded(F.col("text")), F.lit(80)).alias("phrase"))
+    """Phrases, whole, are the small side of a substring join, so documents are read once and never shuffled."""
+    phrases = table(spark, sf, "benchmark").select("item_id", T.folded(F.col("text")).alias("phrase"))
     docs = documents(spark, sf).select("doc_id", T.folded(F.col("text")).alias("t"))
     hits = docs.join(F.broadcast(phrases), F.contains("t", "phrase")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0).cast("long"))

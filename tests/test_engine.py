@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from probecraft.functions import text as T
 from probecraft.operators import chunking, retrieval as R
-from probecraft.plans import experiment as X
+from probecraft.plans import catalog, experiment as X
 from probecraft.sources import corpus
 from probecraft.streaming import events as E
 
@@ -184,6 +184,16 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, E.latest(events, "user_id", "event_type").collect()))
 
 
+def test_probes_are_whole_phrases(spark, tmp_path):
+    """A document that has only the opening of a phrase does not hold it."""
+    opening = " ".join(f"word{i}" for i in range(20))
+    items = [(1, f"{opening} ends here"), (2, f"{opening} ends there"), (3, f"{opening} ends nowhere")]
+    docs = [(1, f"so {opening}  ENDS\nhere ."), (2, f"{opening} ends there"), (3, f"{opening} ends there too"), (4, opening), (5, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, catalog.probe_uniqueness(spark, str(tmp_path)).collect())) == [(1, 1, True), (2, 2, False), (3, 0, False)]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
