@@ -379,6 +379,37 @@ def test_mixing(spark):
     assert ((mixed["domain"] == "q0_t0") == (mixed["doc_id"] % 4 == 0))[:400].mean() > 0.99
 
 
+def soft_rows(spark, soft):
+    """Overlapping posteriors around the shares of four domains, as the mixing fits rates to."""
+    rng = np.random.default_rng(0)
+    share = np.array([0.25, 0.05, 0.6, 0.1])
+    z = rng.normal(size=(4000, 4))
+    z[np.arange(4000), rng.choice(4, size=4000, p=share)] += 1.5
+    p = np.exp(z * soft) * share
+    p /= p.sum(1, keepdims=True)
+    t = rng.integers(1, 2000, 4000)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p, strict=True)], "tokens long, posterior array<double>").cache()
+    return rows, p, t
+
+
+@pytest.mark.parametrize("soft", [1.0, 0.6])
+def test_mixing_of_soft_posteriors(spark, soft):
+    rows, p, t = soft_rows(spark, soft)
+    names = ["q0_t0", "q0_t1", "q1_t0", "q1_t1"]
+    steps = op10_mixing.fit_rates(rows, names, op10_mixing.TARGETS)
+    got = op10_mixing.rated(rows, steps).agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col("posterior")[i]) for i in range(4)), F.min("rate")).first()
+    assert got[4] >= 0 and np.abs(np.array(got[:4]) / t.sum() - [op10_mixing.TARGETS[n] for n in names]).sum() <= 1e-4
+
+
+def test_mixing_beyond_reach(spark):
+    """Every document is at least a tenth bad: nearest totals are those of the purest document, and a warning gives them."""
+    rows = spark.createDataFrame([(100, [0.1 + i / 20, 0.9 - i / 20]) for i in range(9)], "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="bad .* for 0.01000"):
+        steps = op10_mixing.fit_rates(rows, ["bad", "good"], {"bad": 0.01, "good": 0.99})
+    rates = [r["rate"] for r in op10_mixing.rated(rows, steps).orderBy(F.col("posterior")[0]).collect()]
+    assert rates[0] > 0 and max(rates[1:]) < 1e-3 * rates[0]
+
+
 def test_empty_tables(spark, empty):
     assert op4_jaccard_join.join(spark, empty).count() == 0
     assert op8_suffix_dedup.deduplicate(spark, empty, digest=True).count() == 0
