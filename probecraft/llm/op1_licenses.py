@@ -26,6 +26,8 @@ NEGATIVES, CHARS, EXAMPLES = 400, 600, 24
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-5
 CONFIRM = 0.6
 NONE, UNKNOWN = "none", "unknown"
+#: What is said of each licence paragraph.
+PARAGRAPH = {"paragraph": pa.int64(), "license": pa.string(), "probability": pa.float64(), "similarity": pa.float64(), "confirmed": pa.bool_()}
 WORD = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 
 #: Statements of each family: fixed values.
@@ -133,7 +135,7 @@ class Model:
 
 
 def scan(docs: DataFrame, negatives: list[str]) -> DataFrame:
-    """For each document its most certain licence paragraph, confirmed ones first."""
+    """For each document all its licence paragraphs, in order, and the most certain of them, confirmed ones first."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(negatives)
@@ -141,7 +143,7 @@ def scan(docs: DataFrame, negatives: list[str]) -> DataFrame:
             rows = []
             for text in b.column(1).to_pylist():
                 lines = (text or "").split("\n")
-                best, hits = (False, 0.0, NONE, 0.0, -1), 0
+                best, found = (False, 0.0, NONE, 0.0, -1), []
                 for i, line in enumerate(lines):
                     if not line or model.words.isdisjoint(tokens(line)):
                         continue
@@ -149,15 +151,15 @@ def scan(docs: DataFrame, negatives: list[str]) -> DataFrame:
                     if family == NONE:
                         continue
                     ok = family != UNKNOWN and like >= CONFIRM
-                    hits += 1
+                    found.append(dict(zip(PARAGRAPH, (i, family, p, like, ok), strict=True)))
                     if (ok, p) > best[:2]:
                         best = (ok, p, family, like, i)
                 ok, p, family, like, at = best
-                rows.append((sum(bool(x.strip()) for x in lines), hits, family, p, like, ok, at))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "n_paragraphs", "n_hits", "license", "probability", "similarity", "confirmed", "paragraph"])
+                rows.append((sum(bool(x.strip()) for x in lines), len(found), family, p, like, ok, at, found))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.struct(list(PARAGRAPH.items()))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "n_paragraphs", "n_hits", "license", "probability", "similarity", "confirmed", "paragraph", "paragraphs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_paragraphs long, n_hits long, license string, probability double, similarity double, confirmed boolean, paragraph long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_paragraphs long, n_hits long, license string, probability double, similarity double, confirmed boolean, paragraph long, paragraphs array<struct<paragraph: long, license: string, probability: double, similarity: double, confirmed: boolean>>")
 
 
 def negatives(docs: DataFrame) -> list[str]:

@@ -323,6 +323,22 @@ def test_licenses(spark, docs):
     assert all(not found[(i,)]["confirmed"] for i in (10, 11, 12)) and found[(10,)]["license"] == "none"
 
 
+def test_licenses_of_one_document(spark, docs):
+    """Each licence paragraph is returned, a repeated and an unknown one too; the best stays a column of its own."""
+    negatives = op1_licenses.negatives(docs)
+    model = op1_licenses.Model(negatives)
+    lines = ["thing of the ation", "Released under the MIT License.", "", "This work is licensed under the GNU General Public License, version 3.", "Licensed under MIT, BSD or Apache", "Released under the MIT License.", "er"]
+    wanted = [(i, *model(x)) for i, x in enumerate(lines) if model(x)[0] != "none"]
+    assert {"mit", "gpl", "unknown"} <= {w[1] for w in wanted} and len(wanted) >= 4
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, "er"), (3, None)], "doc_id long, text string")
+    found = got(op1_licenses.scan(rows, negatives), "doc_id")
+    mine = found[(1,)]["paragraphs"]
+    assert [(r["paragraph"], r["license"], r["probability"], r["similarity"]) for r in mine] == wanted and found[(1,)]["n_hits"] == len(mine)
+    best = max(mine, key=lambda r: (r["confirmed"], r["probability"], -r["paragraph"]))
+    assert all(best[k] == found[(1,)][k] for k in ("paragraph", "license", "probability", "similarity", "confirmed"))
+    assert found[(2,)]["paragraphs"] == [] and found[(3,)]["paragraphs"] == []
+
+
 def cheapest(roles):
     """Every legal placement of the turns by exhaustive search."""
     best = {op2_chat.START: 0.0}
