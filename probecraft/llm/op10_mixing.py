@@ -44,8 +44,8 @@ def measures(text: Column, ws: Column, distinct: Column) -> dict[str, Column]:
     n = F.length(t) + F.lit(1.0)
     return {
         "symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>!@=~^{}\[\]\\_]")) / n,
-        "digits": F.regexp_count(t, F.lit("[0-9]+")) / n,
-        "capitals": F.regexp_count(t, F.lit("[A-Z]{2,}")) / n,
+        "digits": F.regexp_count(t, F.lit("[0-9]")) / n,
+        "capitals": F.regexp_count(t, F.lit("[A-Z]")) / n,
         "variety": F.size(distinct) / (F.size(ws) + F.lit(1.0)),
         "length": F.log(n),
     }
@@ -90,8 +90,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:
-    """Number of edges that value reaches."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)) if edges else F.lit(0)
+    """Number of edges that value reaches. The outer array has value computed once, not for each edge."""
+    reached = lambda v: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= v))
+    return F.element_at(F.transform(F.array(value), reached), 1) if edges else F.lit(0)
 
 
 def posterior(model: dict) -> tuple[Column, Column]:

@@ -395,6 +395,15 @@ def test_mixing(spark):
     assert ((mixed["domain"] == "q0_t0") == (mixed["doc_id"] % 4 == 0))[:400].mean() > 0.99
 
 
+def test_mixing_measures_count_characters(spark):
+    texts = ["A Bc DEF 1 22 333", "no such thing", "É Ä ٣ X9", "#*\\[] A1", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in op10_mixing.featured(docs).collect():
+        n = len(r["text"]) + 1
+        assert abs(r["_m_capitals"] * n - len(re.findall("[A-Z]", r["text"]))) < 1e-9 and abs(r["_m_digits"] * n - len(re.findall("[0-9]", r["text"]))) < 1e-9
+        assert abs(r["_m_symbols"] * n - sum(c in "#*$%&|<>!@=~^{}[]\\_" for c in r["text"])) < 1e-9
+
+
 def soft_rows(spark, soft):
     """Overlapping posteriors around the shares of four domains, as the mixing fits rates to."""
     rng = np.random.default_rng(0)
