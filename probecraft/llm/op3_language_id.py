@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Every language has a raw-content zstandard dictionary made from labelled texts. A text goes to the
-language whose dictionary gives the fewest compressed bytes; narrow margins are marked as rejected.
+language whose dictionary gives the fewest compressed bytes; narrow margins are marked as rejected, in texts of any length.
 
 Fixed behaviour: null texts and texts without a letter give ``und`` with score 0 and are rejected;
 empty tables give empty results; repeated rows are scored alike; ties go to the language first in
@@ -23,8 +23,6 @@ LEVEL = 3
 BLOCK = 2048
 #: Relative margin between the two smallest sizes below which a prediction is rejected.
 MARGIN = 0.004
-#: A tie on a text of fewer bytes says nothing about its language, so it is kept.
-SHORT = 64
 
 
 def fit(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS) -> dict[str, bytes]:
@@ -62,7 +60,7 @@ class Classifier:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
         score = (rest - sizes[best]) / rest
-        return self.names[best], score, score < MARGIN and len(data) >= SHORT
+        return self.names[best], score, score < MARGIN
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

@@ -288,6 +288,13 @@ def test_language_id(spark, docs, rows):
     assert all(0 <= r["score"] <= 1 for r in answers.values())
 
 
+def test_language_ties_are_rejected():
+    """A short text that no dictionary favours has no language; one that a dictionary favours keeps it."""
+    classify = op3_language_id.Classifier({"de": b"der und schkeit ung ein pf zu " * 20, "en": b"the of thing ation with ough " * 20})
+    assert classify("xq")[1:] == (0.0, True)
+    assert classify("schkeit ung ein pf zu") == ("de", classify("schkeit ung ein pf zu")[1], False)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((900, 24)).astype(np.float32)
