@@ -26,11 +26,12 @@ MARGIN = 0.004
 
 
 def fit(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS) -> dict[str, bytes]:
-    """Dictionaries from a bounded sample: the labelled texts with the lowest hashes of doc_id."""
+    """Dictionaries from a bounded sample: the labelled texts with the lowest hashes of doc_id, each from a hashed position."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.filter("lang is not null and text is not null and doc_id is not null and lang <> 'und'")
     picked = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= texts).select("doc_id").distinct()
-    rows = usable.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", F.substring(F.lower("text"), 1, chars).alias("text")).distinct().collect()
+    start = (F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length(F.lower("text")) - chars + 1)) + 1).cast("int")
+    rows = usable.join(F.broadcast(picked), "doc_id").select("lang", "doc_id", F.substring(F.lower("text"), start, F.lit(chars)).alias("text")).distinct().collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])

@@ -288,6 +288,14 @@ def test_language_id(spark, docs, rows):
     assert all(0 <= r["score"] <= 1 for r in answers.values())
 
 
+def test_language_sample_is_no_prefix(spark):
+    """Texts that all open with the same long header still teach their languages."""
+    rng = random.Random(5)
+    data = [(i, "0123456789 " * 100 + sentence(rng, lang, 600), lang) for i, lang in enumerate(["en", "de"] * 8)]
+    model = op3_language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert all(len(set(re.findall("[a-z]+", d.decode()))) > 100 for d in model.values()) and set(model) == {"de", "en"}
+
+
 def test_language_ties_are_rejected():
     """A short text that no dictionary favours has no language; one that a dictionary favours keeps it."""
     classify = op3_language_id.Classifier({"de": b"der und schkeit ung ein pf zu " * 20, "en": b"the of thing ation with ough " * 20})
