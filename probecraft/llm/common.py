@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,8 +49,16 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, source: DataFrame | None = None, mb: int = 12) -> int:
+    """Tasks of a shuffle: the session's number, or more if the files that source reads exceed mb MB for each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-file_bytes(source) // (mb << 20)) if source is not None else 1)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Size of the files that df reads, as the catalog knows it; rows that are in no file count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(str(x.stats().sizeInBytes())) for x in found if "Relation" in x.nodeName() and x.nodeName() != "LocalRelation")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,6 +75,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: White space of words: the bytes 0x20 and 0x09 to 0x0D.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte, and an odd base whose powers place it.
+LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BASE = 0xC2B2AE3D27D4EB4F
+#: Bytes of text hashed together.
+PORTION = 1 << 19
+
+
+@functools.lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse modulo 2^64, to the powers 0 to n - 1."""
+    both = (np.full(n, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    out = []
+    for x in both:
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return tuple(out)
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of data: runs of other bytes than white space."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], BLANK[raw], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    if not len(start):
+        return start, np.empty(0, np.uint64)
+    up, down = powers(max(PORTION, 1 << len(data).bit_length()))
+    total = np.empty(len(raw) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(LETTER[raw] * up[: len(raw)], out=total[1:])
+    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def word_sequences(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, the one after the last, owner of each word counted from the first, hash of each word) for portions of texts, in order."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < PORTION):
+            size += len(texts[hi]) + 1
+            hi += 1
+        if hi == lo + 1 and size > PORTION:  # a very long text, a piece of whole words at a time
+            text, at, got = texts[lo], 0, []
+            while at < len(text):
+                cut = at + PORTION
+                while cut < len(text) and not BLANK[text[cut]]:
+                    cut += 1
+                got.append(hashed_words(text[at:cut])[1])
+                at = cut
+            h = np.concatenate(got)
+            yield lo, hi, np.zeros(len(h), np.int64), h
+        else:
+            start, h = hashed_words(b"\n".join(texts[lo:hi]))
+            first = np.cumsum([0, *(len(t) + 1 for t in texts[lo : hi - 1])])
+            yield lo, hi, np.searchsorted(first, start, "right") - 1, h
+        lo = hi
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered up to a bound."""
 
@@ -153,7 +222,10 @@ class Dealer:
             return
         columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
         self.held, self.size = [], 0
-        bucket = (columns[0] % np.uint64(self.buckets)).astype(np.uint32)
+        yield from self.packed(columns[0], columns)
+
+    def packed(self, key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket = (key % np.uint64(self.buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for k in np.flatnonzero(np.diff(edge)):
@@ -164,7 +236,7 @@ class Dealer:
 DEALT = "bucket int, data binary"
 
 
-def gathered(dealt: DataFrame, buckets: int, tasks: int, each, schema: str) -> DataFrame:
+def gathered(dealt: DataFrame, tasks: int, each, schema: str) -> DataFrame:
     """Give each bucket's arrays, joined, to each(arrays), which yields record batches.
 
     Buckets come one after another within a task; no more than one is held at a time.

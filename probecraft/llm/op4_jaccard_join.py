@@ -2,19 +2,23 @@
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets are one class.
 2. Shingles are dealt by hash; one that only a single class has is private. A class can only link if no more
-   of its shingles are private than a linked partner may lack, so all others are done at once.
-3. Of the rest, each class lists its rarest shingles: so many that linked classes share one (prefix filter
-   in one global order). Classes of one list entry point to its smallest class; the connected components of these
-   pointers are the blocks, which no link leaves.
-4. A block gets a signature tree: leaves of classes in order of size and signature, nodes with the OR of their bitmaps and
-   their range of sizes. A dual traversal skips a pair of nodes if the largest overlap its bitmaps and sizes allow
-   is too small, or if all of both is one component already; pairs of leaves are compared exactly.
-5. A block above BLOCK classes is dealt out: its classes are first compared with a few pivots of the block, and
-   those that stay apart from the main component meet all its pieces, a piece at a time.
+   of its shingles are private than a linked partner may lack, so all others are done at once. A shingle that HOT classes of one deal
+   have is dealt by shingle and class, and marked for the others, so that no bucket gets all its classes.
+3. Classes that may link are dealt to shards so that linked ones meet: each points from its rarest shared shingles to the smallest
+   class that lists them too (prefix filter in one global order), and no link leaves a connected component of these pointers.
+   Many components share a shard; nothing but the shard follows from them.
+4. A shard gets a signature tree: leaves of classes in order of size and signature, nodes with the OR of their bitmaps and
+   their range of sizes. A dual traversal, a level at a time, skips a pair of nodes if the largest overlap that its bitmaps and sizes allow
+   is too small, or if all of both is one component already; what is left of the pairs of leaves is compared exactly.
+5. A component above BLOCK classes is dealt out in pieces by size: its classes are first compared with a few pivots of it, and
+   those that stay apart from the main component meet the pieces whose range of sizes allows links, a pair of pieces at a time.
+
+``links`` gives all links between classes and their members; ``join`` skips pairs that are one component already.
 
 Fixed behaviour: texts without words, or null, have empty sets and link with nothing; repeated rows of a doc_id
-are one document in links and each in the result; a null doc_id keeps its own null component; empty tables give
-empty results; ties don't matter, as all links count; very long texts are whole; extra columns are ignored.
+are one document in links and each in the result; a row without doc_id links like any other, but its component_id is
+null and it names no component; empty tables give empty results; ties don't matter, as all links count; very long texts are whole;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,38 +28,58 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Dealer, Scratch, WordHashes, components, gathered, mix, partitions, windows
+from .common import Dealer, Scratch, components, file_bytes, gathered, loads, mix, partitions, windows, word_sequences
 
 #: Words of a shingle; 100 * intersection >= PERCENT * union links.
 WORDS, PERCENT = 5, 75
-#: Classes of a block that one task takes whole; classes of a leaf; children of a node; words of a bitmap (64 bits each).
-BLOCK, LEAF, FAN, BITMAP = 2048, 8, 8, 16
+#: Classes of a component that one task takes whole, and of a shard, about; classes of a leaf; children of a node.
+BLOCK, LEAF, FAN = 2048, 4, 4
+#: Bits of a bitmap for each shingle of a mean set; least and most 64-bit words of a bitmap; pairs looked at together.
+BITS, LEAST_WORDS, MOST_WORDS, PAIRS = 32, 16, 1024, 2048
 PIVOT_ROUNDS = 4
+#: Classes of one deal from which a shingle is dealt by class; MB of files for each bucket.
+HOT, BUCKET_MB = 16, 3
+#: Rarity of a hot shingle, after all others.
+COMMON = 255
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingles of the lower-cased words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    if len(h) < WORDS:
-        return windows(np.append(h, np.uint64(len(h))), len(h) + 1)
-    return np.unique(windows(h, WORDS))
+def sets_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, sorted distinct shingles of texts one after another, where each text's begin and the last end)."""
+    for lo, hi, owner, h in word_sequences(texts):
+        many = np.bincount(owner, minlength=hi - lo)
+        s = windows(h, WORDS)
+        inside = owner[: len(s)] == owner[WORDS - 1 :]
+        s, o = s[inside], owner[: len(s)][inside]
+        few = np.flatnonzero((many > 0) & (many < WORDS))
+        if len(few):
+            end = np.cumsum(many)
+            whole = [windows(np.append(h[end[i] - many[i] : end[i]], np.uint64(many[i])), int(many[i]) + 1) for i in few]
+            s, o = np.concatenate([s, *whole]), np.concatenate([o, few])
+        order = np.lexsort((s, o))
+        s, o = s[order], o[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])[: len(s)]
+        yield lo, s[new], np.searchsorted(o[new], np.arange(hi - lo + 1))
 
 
-def set_of(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), hashes)
+def set_of(text: str | None) -> np.ndarray:
+    return next((s for _, s, _ in sets_of([_plain(text)])), np.empty(0, np.uint64))
 
 
-def class_of(s: np.ndarray) -> int:
-    """A 63-bit name of a set."""
-    if not len(s):
-        return -1
-    with np.errstate(over="ignore"):
-        h = mix(np.array([mix(s).sum() ^ mix(s * np.uint64(0x9E3779B97F4A7C15)).sum() * np.uint64(3) + np.uint64(len(s))], np.uint64))[0]
-    return int(h >> np.uint64(1))
+def _plain(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def names_of(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A 63-bit name of each set, -1 for empty ones."""
+    n = np.diff(edge)
+    out = np.full(len(n), -1, np.int64)
+    if len(s):
+        full = n > 0
+        one, two = (np.add.reduceat(x, edge[:-1][full]) for x in (mix(s), mix(s * np.uint64(0x9E3779B97F4A7C15))))
+        out[full] = (mix(one ^ (two * np.uint64(3) + n[full].astype(np.uint64))) >> np.uint64(1)).view(np.int64)
+    return out
 
 
 def spare(n: np.ndarray | int, percent: int = PERCENT):
@@ -96,107 +120,124 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
         return True
 
+    def labels(self) -> np.ndarray:
+        up = np.array(self.up, np.int64)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
+
 
 class SignatureTree:
-    """Leaves and nodes over sets in order of size and signature."""
-
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        self.sets, self.sizes = sets, sizes
-        bits = np.zeros((len(sets), BITMAP), np.uint64)
-        for i, s in enumerate(sets):
-            b = s % np.uint64(64 * BITMAP)
-            np.bitwise_or.at(bits[i], (b >> np.uint64(6)).astype(int), np.uint64(1) << (b & np.uint64(63)))
-        lows = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
-        self.bits, self.order = bits, np.lexsort((sizes, lows))
-        self.levels = []  # of (low, high) positions, bitmaps, smallest and largest size
-        lo = np.arange(0, len(sets), LEAF)
-        hi = np.minimum(lo + LEAF, len(sets))
-        b = np.stack([np.bitwise_or.reduce(bits[self.order[a:c]], axis=0) for a, c in zip(lo, hi, strict=True)])
-        small = np.array([sizes[self.order[a:c]].min() for a, c in zip(lo, hi, strict=True)])
-        large = np.array([sizes[self.order[a:c]].max() for a, c in zip(lo, hi, strict=True)])
-        self.levels.append((lo, hi, b, small, large))
-        # Shingles of a set beyond its bits, at most, for each node: private shingles and bits hit twice.
-        own = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        self.slack = [np.array([own[self.order[a:c]].max() for a, c in zip(lo, hi, strict=True)])]
-        while len(lo) > 1:
-            at = np.arange(0, len(lo), FAN)
-            lo, hi = lo[at], np.maximum.reduceat(hi, at)
-            b, small, large = np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(small, at), np.maximum.reduceat(large, at)
-            self.levels.append((lo, hi, b, small, large))
-            self.slack.append(np.maximum.reduceat(self.slack[-1], at))
-
-
-def _bits_allow(x: np.ndarray, y: np.ndarray, slack_x: int, slack_y: int, small_x: int, small_y: int, percent: int) -> bool:
-    """Whether sets below two nodes could overlap enough.
-
-    What a set below x shares with one below y has its bits in both, and no more shingles than bits and the slack of
-    its own node; the smallest sets need the least.
+    """Leaves and nodes over sets in order of size and signature.
+
+    sets are what classes share with others, sizes count private shingles too. ``seen`` counts pairs of nodes, those that
+    sizes, bitmaps and components pruned, pairs of sets that were left, and those compared exactly.
     """
-    most = int(np.bitwise_count(x & y).sum()) + int(min(slack_x, slack_y))
-    return most * 100 >= percent * int(max(small_x, small_y))
-
-
-def bound_pairs(bits: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Of all pairs of a and b, those whose bitmaps and sizes allow a link."""
-    x, y = bits[a][:, None, :], bits[b][None, :, :]
-    only_x = np.bitwise_count(x & ~y).sum(2, dtype=np.int64)
-    only_y = np.bitwise_count(y & ~x).sum(2, dtype=np.int64)
-    most = np.minimum(sizes[a][:, None] - only_x, sizes[b][None, :] - only_y)
-    return 100 * most >= percent * (sizes[a][:, None] + sizes[b][None, :] - most)
-
-
-def join_tree(tree: SignatureTree, forest: Forest, side: np.ndarray | None = None, edges: list | None = None, percent: int = PERCENT) -> None:
-    """Dual traversal of a tree with itself. With side, only pairs of side True and any other are needed."""
-    levels, order, fewest = tree.levels, tree.order.tolist(), tree.slack
-    top = len(levels) - 1
-    stack = [(top, i, j) for i in range(len(levels[top][0])) for j in range(i, len(levels[top][0]))]
-    whole: dict[tuple[int, int], int] = {}
-
-    def component(level: int, i: int) -> int:
-        """The only component below a node, or -1; a node that is one stays one."""
-        if (level, i) in whole:
-            return forest.find(whole[level, i])
-        lo, hi = levels[level][0][i], levels[level][1][i]
-        first = forest.find(order[lo])
-        if all(forest.find(order[k]) == first for k in range(lo + 1, hi)):
-            whole[level, i] = first
-            return first
-        return -1
 
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT):
+        self.sets, self.sizes, self.percent = sets, sizes, percent
+        self.lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+        words = int(np.clip(1 << int(np.ceil(np.log2(max(1.0, self.lengths.mean() * BITS / 64)))), LEAST_WORDS, MOST_WORDS))
+        flat = np.concatenate(sets) % np.uint64(64 * words)
+        bits = np.zeros(len(sets) * words, np.uint64)
+        np.bitwise_or.at(bits, np.repeat(np.arange(len(sets)) * words, self.lengths) + (flat >> np.uint64(6)).astype(np.int64), np.uint64(1) << (flat & np.uint64(63)))
+        self.bits = bits.reshape(len(sets), words)
+        lows = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+        self.order = np.lexsort((lows, np.log2(np.maximum(sizes, 1)) // 0.2))
+        # Shingles of a set that fall on a bit of another one of it: an overlap has no more than common bits and these.
+        doubled = self.lengths - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        at = np.arange(0, len(sets), LEAF)
+        level = [f.reduceat(x[self.order], at, axis=0) for f, x in ((np.bitwise_or, self.bits), (np.minimum, sizes), (np.maximum, sizes), (np.maximum, doubled))]
+        self.levels = [(at, *level)]  # first place of each node, bitmaps, smallest and largest size, most doubled
+        while len(at) > 1:
+            up = np.arange(0, len(at), FAN)
+            level = [f.reduceat(x, up, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), level, strict=True)]
+            at = at[up]
+            self.levels.append((at, *level))
+        self.seen = dict.fromkeys(("nodes", "by_size", "by_bitmap", "by_component", "left", "compared"), 0)
+
+    def allowed(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets below nodes i and j could overlap enough: the smallest sets need the least."""
+        _, bits, small, large, doubled = self.levels[level]
+        fits = (large[i] * 100 >= small[j] * self.percent) & (large[j] * 100 >= small[i] * self.percent)
+        self.seen["nodes"] += len(i)
+        self.seen["by_size"] += int((~fits).sum())
+        at = np.flatnonzero(fits & (i != j))
+        most = np.bitwise_count(bits[i[at]] & bits[j[at]]).sum(1, dtype=np.int64) + np.minimum(doubled[i[at]], doubled[j[at]])
+        fits[at] = most * 100 >= self.percent * np.maximum(small[i[at]], small[j[at]])
+        self.seen["by_bitmap"] += int((~fits[at]).sum())
+        return fits
+
+    def pair_allowed(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether two sets' bitmaps and sizes allow a link: a bit that only one has is a shingle that the other lacks."""
+        x, y, n = self.bits[p], self.bits[q], self.sizes
+        most = np.minimum(self.lengths[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), self.lengths[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        return 100 * most >= self.percent * (n[p] + n[q] - most)
+
+    def linked(self, p: int, q: int) -> bool:
+        self.seen["compared"] += 1
+        return linked(overlap(self.sets[p], self.sets[q]), int(self.sizes[p]), int(self.sizes[q]), self.percent)
+
+
+def traverse(tree: SignatureTree, forest: Forest | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Linked pairs of sets by a dual traversal of a tree with itself.
+
+    With forest, which they join, pairs of one component are skipped. With side, only pairs of a True and any other are needed.
+    """
+    order, top, found = tree.order, len(tree.levels) - 1, []
+
+    def compare(p: np.ndarray, q: np.ndarray) -> None:
+        for a in range(0, len(p), PAIRS):
+            x, y = p[a : a + PAIRS], q[a : a + PAIRS]
+            tree.seen["left"] += len(x)
+            keep = tree.pair_allowed(x, y)
+            for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                if (forest is None or forest.find(u) != forest.find(v)) and tree.linked(u, v):
+                    found.append((u, v))
+                    if forest is not None:
+                        forest.join(u, v)
+
+    def needed(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        fine = (p != q) if side is None else (p != q) & (side[p] | side[q])
+        if forest is not None:
+            label = forest.labels()
+            fine &= label[p] != label[q]
+        return fine
+
+    if forest is not None and len(order) > 1:  # neighbours first, so that groups of near copies are soon one component
+        ok = needed(order[:-1], order[1:])
+        compare(order[:-1][ok], order[1:][ok])
+    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        lo, hi, bits, small, large = levels[level]
-        if large[i] * 100 < small[j] * percent or large[j] * 100 < small[i] * percent:
-            continue
-        if i != j and not _bits_allow(bits[i], bits[j], fewest[level][i], fewest[level][j], small[i], small[j], percent):
-            continue
-        ci = component(level, i)
-        if ci >= 0 and ci == component(level, j):
-            continue
-        if side is not None and not (side[tree.order[lo[i] : hi[i]]].any() or side[tree.order[lo[j] : hi[j]]].any()):
+        keep = tree.allowed(level, i, j)
+        i, j = i[keep], j[keep]
+        at = tree.levels[level][0]
+        if forest is not None and len(i):
+            label = forest.labels()[order]
+            low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+            one = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
+            tree.seen["by_component"] += int(one.sum())
+            i, j = i[~one], j[~one]
+        if side is not None and len(i):
+            any_ = np.logical_or.reduceat(side[order], at)
+            keep = any_[i] | any_[j]
+            i, j = i[keep], j[keep]
+        if not len(i):
             continue
+        wide, below = (FAN, len(tree.levels[level - 1][0])) if level else (LEAF, len(order))
+        grid = np.arange(wide)
+        a = (i[:, None, None] * wide + grid[:, None] + 0 * grid).ravel()
+        b = (j[:, None, None] * wide + grid + 0 * grid[:, None]).ravel()
+        keep = (a < below) & (b < below) & (a <= b)
+        a, b = a[keep], b[keep]
         if level:
-            a, b = range(i * FAN, min((i + 1) * FAN, len(levels[level - 1][0]))), range(j * FAN, min((j + 1) * FAN, len(levels[level - 1][0])))
-            down = [(level - 1, x, y) for x in a for y in b if i != j or x <= y]
-            down.sort(key=lambda p: p[1] != p[2])
-            stack += down[::-1]
-            continue
-        a, b = tree.order[lo[i] : hi[i]], tree.order[lo[j] : hi[j]]
-        for x, y in np.argwhere(bound_pairs(tree.bits, tree.sizes, a, b, percent)):
-            p, q = int(a[x]), int(b[y])
-            if p == q or (side is not None and not (side[p] or side[q])) or forest.find(p) == forest.find(q):
-                continue
-            if linked(overlap(tree.sets[p], tree.sets[q]), int(tree.sizes[p]), int(tree.sizes[q]), percent):
-                forest.join(p, q)
-                if edges is not None:
-                    edges.append((p, q))
-
-
-def block_components(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    forest = Forest(len(sets))
-    if len(sets) > 1:
-        join_tree(SignatureTree(sets, sizes), forest)
-    return np.array([forest.find(i) for i in range(len(sets))], np.int64)
+            stack += [(level - 1, a[k : k + PAIRS], b[k : k + PAIRS]) for k in range(0, len(a), PAIRS)][::-1]
+        else:
+            p, q = order[a], order[b]
+            keep = needed(p, q)
+            compare(p[keep], q[keep])
+    return found
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -204,50 +245,65 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     The second has the class's shingles that other classes have too, sorted, and the rarest of them.
     """
-    n_parts = partitions(docs.sparkSession)
+    n_parts = partitions(docs.sparkSession, docs, 64)
+    buckets = max(n_parts, -(-file_bytes(docs) // (BUCKET_MB << 20)))
 
     def sets_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dealer, seen = WordHashes(), Dealer(n_parts, 3_000_000), set()
+        dealer, seen = HotDealer(buckets), set()
         for b in it:
-            ids, ns, names, valid = [], [], [], b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            raw = b.column(0).fill_null(0).to_numpy()
-            for text in b.column(1).to_pylist():
-                s = set_of(text, hashes)
-                c = class_of(s)
-                ns.append(len(s))
-                names.append(c)
-                if len(s) and c not in seen:
-                    if len(seen) > 500_000:
+            for first in range(0, len(b), 2000):
+                part = b.slice(first, 2000)
+                ns, names = [], []
+                for _, s, edge in sets_of([_plain(t) for t in part.column(1).to_pylist()]):
+                    c, n = names_of(s, edge), np.diff(edge)
+                    ns.append(n)
+                    names.append(c)
+                    if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(c)
-                    for out in dealer.add(s, np.full(len(s), c, np.int64), np.full(len(s), len(s), np.int32)):
-                        yield _wide(out)
-            data = np.stack([raw.astype(np.int64), np.array(ns, np.int64), np.array(names, np.int64), valid.astype(np.int64)]) if len(ns) else np.zeros((4, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([None] * len(ns), pa.int32()), pa.array([None] * len(ns), pa.binary()), b.column(0).cast(pa.int64()), pa.array(data[1]), pa.array(data[2])], names=WIDE)
-        for out in dealer.flush():
-            yield _wide(out)
-
-    dealt = docs.select("doc_id", "text").mapInArrow(sets_out, "bucket int, data binary, doc_id long, n long, cls long")
+                    new = np.zeros(len(c), bool)
+                    for i, x in enumerate(c.tolist()):
+                        if x not in seen:
+                            seen.add(x)
+                            new[i] = n[i] > 0
+                    yield from map(_wide, dealer.add(s[np.repeat(new, n)], np.repeat(c[new], n[new]), np.repeat(n[new], n[new]).astype(np.int32)))
+                size = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), part.column(0).cast(pa.int64()), pa.array(np.concatenate(ns)), pa.array(np.concatenate(names))], names=WIDE)
+        yield from map(_wide, dealer.flush())
+
+    dealt = docs.select("doc_id", "text").mapInArrow(sets_out, DEALT_WIDE)
     key = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int"))
 
     def private_or_shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import loads
+        dealer, at, held = Dealer(buckets, 500_000), None, []
 
-        held: list = []
-        for b in it:
-            at = b.column(1).is_valid()
-            yield b.filter(pa.compute.invert(at)).select(WIDE)
-            held += [loads(x) for x in b.filter(at).column("data").to_pylist()]
-        for out in _split_by_bucket(held, n_parts):
-            yield out
+        def finish() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from map(_wide, dealer.add(*_shared([np.concatenate(c) for c in zip(*held, strict=True)])))
+                held.clear()
 
-    mixed = scratch.write(dealt.withColumn("k", key).repartition(n_parts, "k").select(*WIDE).mapInArrow(private_or_shared, "bucket int, data binary, doc_id long, n long, cls long"))
+        for b in it:
+            full = b.column(1).is_valid()
+            rest = b.filter(pa.compute.invert(full))
+            if len(rest):
+                yield rest.select(WIDE)
+            for bucket, data in zip(b.filter(full).column(0).to_pylist(), b.filter(full).column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    yield from finish()
+                at = bucket
+                held.append(loads(data))
+        yield from finish()
+        yield from map(_wide, dealer.flush())
+
+    met = dealt.withColumn("k", key).repartition(n_parts, "k").sortWithinPartitions("bucket").select(*WIDE)
+    mixed = scratch.write(met.mapInArrow(private_or_shared, DEALT_WIDE))
     documents = mixed.filter("data is null").select("doc_id", "n", "cls")
 
     def assemble(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cls, shingle, rarity, size = arrays
         order = np.lexsort((shingle, rarity, cls))
         cls, shingle, rarity, size = cls[order], shingle[order], rarity[order], size[order]
+        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (shingle[1:] != shingle[:-1])])
+        cls, shingle, size = cls[new], shingle[new], size[new]
         edge = np.append(np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])), len(cls))
         rows = []
         for a, c in zip(edge, edge[1:], strict=False):
@@ -255,158 +311,230 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             private = n - len(s)
             if private > spare(n):
                 continue
-            rows.append((int(cls[a]), n, np.sort(s).tobytes(), s[: spare(n) - private + 1].view(np.int64)))
-        for lo in range(0, len(rows), 1000):
-            part = rows[lo : lo + 1000]
+            rows.append((int(cls[a].view(np.int64)), n, np.sort(s).tobytes(), s[: spare(n) - private + 1].view(np.int64)))
+        for lo in range(0, len(rows), 500):
+            part = rows[lo : lo + 500]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["cls", "n", "shared", "prefix"])
 
-    near = gathered(mixed.filter("data is not null").select("bucket", "data"), n_parts, n_parts, assemble, "cls long, n long, shared binary, prefix array<long>")
+    near = gathered(mixed.filter("data is not null").select("bucket", "data"), n_parts, assemble, "cls long, n long, shared binary, prefix array<long>")
     return documents, scratch.write(near)
 
 
 WIDE = ["bucket", "data", "doc_id", "n", "cls"]
+DEALT_WIDE = "bucket int, data binary, doc_id long, n long, cls long"
 
 
 def _wide(b: pa.RecordBatch) -> pa.RecordBatch:
-    none = pa.array([None] * len(b), pa.int64())
+    none = pa.nulls(len(b), pa.int64())
     return pa.RecordBatch.from_arrays([*b.columns, none, none, none], names=WIDE)
 
 
-def _split_by_bucket(held: list, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Shared shingles with their rarity (log2 of the classes that have them), dealt by class."""
-    if not held:
-        return
-    s, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
-    order = np.argsort(s, kind="stable")
-    s, c, n = s[order], c[order], n[order]
-    # A class comes once from each task that saw it.
-    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
-    many = np.bincount(group)[group] > 1
-    s, c, n, group = s[many], c[many], n[many], group[many]
-    order = np.lexsort((c, group))
-    s, c, n, group = s[order], c[order], n[order], group[order]
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (c[1:] != c[:-1])])[: len(s)]
-    s, c, n, group = s[new], c[new], n[new], group[new]
-    count = np.bincount(group)[group] if len(group) else np.empty(0, int)
-    keep = count > 1
-    dealer = Dealer(n_parts)
-    for out in dealer.add(c[keep].view(np.uint64), s[keep], np.log2(count[keep]).astype(np.uint8), n[keep]):
-        yield _wide(out)
-    for out in dealer.flush():
-        yield _wide(out)
+class HotDealer(Dealer):
+    """Deals (shingle, class, size); a shingle that HOT classes here have goes by shingle and class, and a marker to its own bucket."""
+
+    def __init__(self, buckets: int):
+        super().__init__(buckets, 1_000_000)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        s, c, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(s, kind="stable")
+        s, c, n = s[order], c[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        many = np.diff(np.append(start, len(s)))
+        hot = np.repeat(many >= HOT, many)
+        mark = s[start[many >= HOT]]
+        key = np.where(hot, mix(s ^ mix(c.view(np.uint64))), s)
+        none = np.zeros(len(mark), np.int32)
+        self.held, self.size = [], 0
+        yield from self.packed(np.append(key, mark), [np.append(s, mark), np.append(c, none), np.append(n, none), np.append(hot, none + 2).astype(np.uint8)])
+
+
+def _shared(arrays: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Class, shingle, rarity (log2 of the classes that have it, COMMON if hot) and size of the shared shingles of a bucket."""
+    s, c, n, kind = arrays
+    sure = kind == 1
+    rest = np.flatnonzero(~sure)
+    rest = rest[np.lexsort((c[rest], s[rest]))]
+    t, d, k = s[rest], c[rest], kind[rest]
+    # A class comes once from each task that saw it; a marker counts as no class.
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1]) | (k[1:] != k[:-1])])[: len(t)]
+    rest, t, k = rest[new], t[new], k[new]
+    if len(t):
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        many = np.diff(np.append(start, len(t)))
+        rarity = np.repeat(np.where(np.maximum.reduceat(k, start) == 2, COMMON, np.log2(many).astype(np.int64)), many)
+        keep = (k == 0) & np.repeat(many > 1, many)
+        rest, rarity = rest[keep], rarity[keep]
+    else:
+        rarity = np.empty(0, np.int64)
+    at = np.concatenate([np.flatnonzero(sure), rest])
+    return c[at].view(np.uint64), s[at], np.concatenate([np.full(int(sure.sum()), COMMON), rarity]).astype(np.uint8), n[at]
+
+
+def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (key, ...) in order of key, a key's together, without it."""
+    at, held = None, []
+    for b in it:
+        for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != at and held:
+                yield held
+                held = []
+            at = key
+            held.append(tuple(row))
+    if held:
+        yield held
 
 
-def find_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) and (cls, component): the classes with links and the smallest class they reach."""
-    documents, near = classes(docs, scratch)
+def _pairs(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=list(names))
+
+
+def _forest_of(names: list[int], comps: list[int]) -> Forest:
+    forest, first = Forest(len(names)), {}
+    for i, c in enumerate(comps):
+        forest.join(i, first.setdefault(c, i))
+    return forest
+
+
+def blocks_of(near: DataFrame, scratch: Scratch) -> DataFrame:
+    """near with block: the smallest class that pointers between classes of one prefix shingle reach; classes alone are left out."""
     postings = near.select("cls", F.explode("prefix").alias("s"))
-    pivot = postings.groupBy("s").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    pivot = postings.groupBy("s").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter("pivot < other").select("s", "pivot")
     pointers = scratch.write(postings.join(pivot, "s").filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
     blocks = components(scratch, pointers).withColumnRenamed("label", "block")
     sized = blocks.join(blocks.groupBy("block").count(), "block")
-    rows = scratch.write(near.join(sized, near["cls"] == sized["id"]).select("block", "count", "cls", "n", "shared"))
-    small = rows.filter(F.col("count") <= BLOCK)
+    return scratch.write(near.join(sized, near["cls"] == sized["id"]).select("block", "count", "cls", "n", "shared"))
 
-    def whole_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: list) -> pa.RecordBatch:
-            rows.sort()
-            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            label = block_components(sets, np.array([r[1] for r in rows], np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([rows[i][0] for i in label], pa.int64())], names=["cls", "component"])
 
-        at, held = None, []
-        for b in it:
-            for block, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if block != at and held:
-                    yield finish(held)
-                    held = []
-                at = block
-                held.append(tuple(row))
-        if held:
-            yield finish(held)
-
-    n_parts = partitions(docs.sparkSession)
-    done = small.select("block", "cls", "n", "shared").repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(whole_blocks, "cls long, component long")
+def find_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) and (cls, component): the classes with links and the smallest class they reach."""
+    documents, near = classes(docs, scratch)
+    rows = blocks_of(near, scratch)
+
+    def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _grouped(it):
+            held.sort()
+            forest = Forest(len(held))
+            traverse(SignatureTree([np.frombuffer(r[2], np.uint64) for r in held], np.array([r[1] for r in held], np.int64)), forest)
+            yield _pairs([(r[0], held[i][0]) for r, i in zip(held, forest.labels().tolist(), strict=True)], ("cls", "component"))
+
+    done = _shards(rows).mapInArrow(label, "cls long, component long")
     large = rows.filter(F.col("count") > BLOCK)
     if not large.isEmpty():
         done = done.unionByName(large_blocks(scratch, large))
     return documents, scratch.write(done)
 
 
+def _shards(rows: DataFrame) -> DataFrame:
+    """(shard, cls, n, shared) of the blocks that one task takes whole, a shard's together; a block has one shard."""
+    small = rows.filter(F.col("count") <= BLOCK)
+    shards = max(1, -(-small.count() // BLOCK))
+    n_parts = max(partitions(rows.sparkSession), -(-shards // 8))
+    return small.select(F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"), "cls", "n", "shared").repartition(n_parts, "shard").sortWithinPartitions("shard")
+
+
 def large_blocks(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """Components of blocks that no task takes whole.
 
     Pivot rounds: in each block one class of those apart so far is compared with all others apart; what links to it
-    is its component. Then classes still apart, or in small components, meet every piece of the block.
+    is its component. Then classes still apart, or in small components, meet the pieces of the block.
     """
-    rows = scratch.write(rows.select("block", "cls", "n", "shared"))
-    apart = rows
-    edges = None
+    rows = scratch.write(rows.select("block", "cls", "n", "shared", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts")).withColumn("part", F.pmod(F.xxhash64("cls"), "parts")))
+    apart, edges = rows, None
     for r in range(PIVOT_ROUNDS):
-        order = F.xxhash64("cls", F.lit(r))
-        pivots = apart.groupBy("block").agg(F.min_by(F.struct("cls", "n", "shared"), order).alias("p"))
-        pairs = apart.join(pivots, "block").filter(F.col("cls") != F.col("p.cls")).select("block", "cls", "n", "shared", F.col("p.cls").alias("pc"), F.col("p.n").alias("pn"), F.col("p.shared").alias("ps"))
+        pivots = apart.groupBy("block").agg(F.min_by(F.struct("cls", "n", "shared", "parts"), F.xxhash64("cls", F.lit(r))).alias("p"))
+        pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.parts") - 1)))
+        pairs = apart.join(pivots, ["block", "part"]).filter(F.col("cls") != F.col("p.cls")).select("cls", "n", "shared", F.col("p.cls").alias("pc"), F.col("p.n").alias("pn"), F.col("p.shared").alias("ps"))
         found = scratch.write(pairs.mapInArrow(_compare, "cls long, pc long"))
         edges = found if edges is None else edges.unionByName(found)
         hit = found.select("cls").union(found.select("pc")).distinct()
-        apart = scratch.write(apart.join(hit, "cls", "left_anti").select("block", "cls", "n", "shared"))
+        apart = scratch.write(apart.join(hit, "cls", "left_anti").select(*rows.columns))
         if apart.isEmpty():
             break
     so_far = components(scratch, edges.select(F.col("cls").alias("a"), F.col("pc").alias("b")))
     named = rows.join(so_far.withColumnRenamed("id", "cls").withColumnRenamed("label", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     counts = named.groupBy("block", "comp").count()
     main = counts.groupBy("block").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"))
-    named = scratch.write(named.join(main, "block").withColumn("minor", F.col("comp") != F.col("main")))
+    named = scratch.write(named.join(F.broadcast(main) if main.count() < 100_000 else main, "block").withColumn("minor", F.col("comp") != F.col("main")))
     if named.filter("minor").isEmpty():
         return named.select("cls", F.col("comp").alias("component"))
-    pieces = named.groupBy("block").agg(F.ceil(F.sum(F.when(F.col("minor"), 0).otherwise(1)) / BLOCK).cast("long").alias("nb"), F.ceil(F.sum(F.when(F.col("minor"), 1).otherwise(0)) / BLOCK).cast("long").alias("na")).filter("na > 0")
-    dealt = named.join(pieces, "block")
-    zero = F.lit(0).cast("long")
-    ones = dealt.filter("minor").withColumn("p", F.pmod(F.xxhash64("cls"), "na"))
-    # A piece of minor classes meets each piece of the main component, and each piece of minor classes.
-    left = ones.withColumn("q", F.explode(F.sequence(zero, F.col("nb") + F.col("na") - 1)))
-    right = dealt.filter("not minor").withColumn("q", F.pmod(F.xxhash64("cls"), "nb")).withColumn("p", F.explode(F.sequence(zero, F.col("na") - 1)))
-    again = ones.withColumn("q", F.col("nb") + F.col("p")).withColumn("p", F.explode(F.sequence(zero, F.col("na") - 1))).filter(F.col("p") != F.col("q") - F.col("nb"))
-    cols = ["block", "p", "q", "cls", "n", "shared", "comp", "minor"]
-    tasks = left.select(*cols).unionByName(right.select(*cols)).unionByName(again.select(*cols))
+    edges = edges.unionByName(meet_pieces(scratch, named, False))
+    final = components(scratch, edges.select(F.col("cls").alias("a"), F.col("pc").alias("b")))
+    return rows.select("cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("component"))
+
+
+def meet_pieces(scratch: Scratch, named: DataFrame, every: bool) -> DataFrame:
+    """Links (cls, pc) of minor classes, from rows (block, cls, n, shared, comp, minor): all of them, or what joins components.
+
+    Pieces hold classes of one band of sizes; only pairs of pieces meet whose sizes allow links.
+    """
+    band = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")) / 0.2).cast("long")
+    named = named.withColumn("band", band)
+    sized = named.groupBy("block", "minor", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("k"))
+    dealt = named.join(F.broadcast(sized) if sized.count() < 100_000 else sized, ["block", "minor", "band"])
+    dealt = scratch.write(dealt.withColumn("piece", F.concat_ws("/", "minor", "band", F.pmod(F.xxhash64("cls"), "k"))).select("block", "piece", "cls", "n", "shared", "comp", "minor"))
+    pieces = dealt.groupBy("block", "piece", "minor").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = pieces.select("block", F.col("piece").alias("q"), F.col("minor").alias("minor_q"), F.col("lo").alias("lo_q"), F.col("hi").alias("hi_q"))
+    fits = (F.col("hi") * 100 >= F.col("lo_q") * PERCENT) & (F.col("hi_q") * 100 >= F.col("lo") * PERCENT)
+    pairs = pieces.filter("minor").join(other, "block").filter(fits & (~F.col("minor_q") | (F.col("piece") <= F.col("q"))))
+    pairs = scratch.write(pairs.select("block", F.col("piece").alias("p"), "q"))
+    sides = pairs.select("block", F.col("p").alias("piece"), "p", "q").unionByName(pairs.select("block", F.col("q").alias("piece"), "p", "q")).distinct()
+    tasks = dealt.join(sides, ["block", "piece"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cls").reset_index(drop=True)
-        forest, first = Forest(len(group)), {}
-        for i, c in enumerate(group["comp"].tolist()):
-            forest.join(i, first.setdefault(c, i))
-        edges: list = []
-        sets = [np.frombuffer(x, np.uint64) for x in group["shared"]]
-        join_tree(SignatureTree(sets, group["n"].to_numpy()), forest, group["minor"].to_numpy(), edges)
-        names = group["cls"].to_numpy()
+        names, p, q = group["cls"].to_numpy(), group["p"].iloc[0], group["q"].iloc[0]
+        forest = None if every else _forest_of(names.tolist(), group["comp"].tolist())
+        tree = SignatureTree([np.frombuffer(x, np.uint64) for x in group["shared"]], group["n"].to_numpy())
+        left = (group["piece"] == p).to_numpy()
+        edges = traverse(tree, forest, group["minor"].to_numpy())
+        if every and p != q:  # pairs within a piece are of the task in which it meets itself
+            edges = [(a, b) for a, b in edges if left[a] != left[b]]
         return pd.DataFrame({"cls": [int(names[a]) for a, _ in edges], "pc": [int(names[b]) for _, b in edges]}, dtype="int64")
 
-    found = tasks.groupBy("block", "p", "q").applyInPandas(meet, "cls long, pc long")
-    every = edges.unionByName(found)
-    final = components(scratch, every.select(F.col("cls").alias("a"), F.col("pc").alias("b")))
-    return rows.select("cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("component"))
+    return scratch.write(tasks.groupBy("block", "p", "q").applyInPandas(meet, "cls long, pc long"))
 
 
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         out = []
-        for _, c, n, s, pc, pn, ps in zip(*(x.to_pylist() for x in b.columns), strict=True):
+        for c, n, s, pc, pn, ps in zip(*(x.to_pylist() for x in b.columns), strict=True):
             if linked(overlap(np.frombuffer(s, np.uint64), np.frombuffer(ps, np.uint64)), n, pn):
                 out.append((c, pc))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["cls", "pc"])
+        yield _pairs(out, ("cls", "pc"))
+
+
+def links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links between different texts as pairs (a, b) of classes, and the members (doc_id, n_shingles, cls) of all classes."""
+    scratch = Scratch(spark)
+    documents, near = classes(docs, scratch)
+    rows = blocks_of(near, scratch)
+
+    def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _grouped(it):
+            found = traverse(SignatureTree([np.frombuffer(r[2], np.uint64) for r in held], np.array([r[1] for r in held], np.int64)))
+            yield _pairs([(held[a][0], held[b][0]) for a, b in found], ("cls", "pc"))
+
+    done = _shards(rows).mapInArrow(pairs, "cls long, pc long")
+    large = rows.filter(F.col("count") > BLOCK)
+    if not large.isEmpty():
+        done = done.unionByName(meet_pieces(scratch, large.select("block", "cls", "n", "shared", F.col("cls").alias("comp"), F.lit(True).alias("minor")), True))
+    return done.select(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b")), documents.select("doc_id", F.col("n").alias("n_shingles"), "cls")
 
 
 def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     scratch = Scratch(spark)
     documents, linked_classes = find_components(docs, scratch)
-    named = documents.join(linked_classes, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = named.select("doc_id", F.col("n").alias("n_shingles"), "component")
-    smallest = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = named.join(smallest, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.least("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # One row for each class of several documents or with links; all joins before the last are of such rows.
+    each = documents.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    each = each.join(linked_classes, "cls", "left").filter("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "cls"))
+    each = scratch.write(each.select("cls", "least", "component"))
+    least = each.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = each.join(least, "component").select("cls", "smallest")
+    out = documents.join(named, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,6 +542,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
+    """One document of each component stays: the one with the smallest doc_id. Rows without doc_id stay."""
     member = join(spark, docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     return docs.join(member, docs["doc_id"].eqNullSafe(member["doc_id"]), "left_semi")

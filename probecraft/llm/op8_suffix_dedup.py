@@ -248,8 +248,8 @@ def find_spans(spark: SparkSession, scratch: Scratch, table: DataFrame, size: in
             own = edge[lo : lo + 2001]
             yield pa.RecordBatch.from_arrays([pa.array(th[own[:-1]].view(np.int64)), pa.array([label[a:c].tobytes() for a, c in zip(own, own[1:], strict=False)], pa.binary())], names=["th", "shared"])
 
-    found = gathered(table.select("th", "text").mapInArrow(label_out, DEALT), n, n, shared_labels, DEALT)
-    shared = gathered(found, n, n, by_document, "th long, shared binary")
+    found = gathered(table.select("th", "text").mapInArrow(label_out, DEALT), n, shared_labels, DEALT)
+    shared = gathered(found, n, by_document, "th long, shared binary")
     shared = scratch.write(shared)
     with_labels = table.join(shared, "th").select("doc_id", "th", "text", "shared")
 
@@ -312,7 +312,7 @@ def find_spans(spark: SparkSession, scratch: Scratch, table: DataFrame, size: in
         yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(th[first].view(np.int64)), pa.array(spans, pa.binary())], names=["doc_id", "th", "spans"])
 
     dealt = with_labels.mapInArrow(contexts_out, DEALT)
-    spans = gathered(gathered(dealt, shards, n, match, DEALT), n, n, merge, "doc_id long, th long, spans binary")
+    spans = gathered(gathered(dealt, n, match, DEALT), n, merge, "doc_id long, th long, spans binary")
     return scratch.write(spans)
 
 

@@ -106,18 +106,64 @@ def test_jaccard_chains(spark):
     assert found == jaccard_truth(rows)
 
 
-def test_signature_tree_skips_only_impossible_pairs():
+@pytest.mark.parametrize("forested", [True, False])
+def test_signature_tree_skips_only_impossible_pairs(forested):
     rng = np.random.default_rng(1)
-    base = [np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64)) for _ in range(6)]
-    sets = [np.unique(np.concatenate([rng.permutation(base[i % 6])[: rng.integers(60, 80)], rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)])) for i in range(150)]
+    base = [np.unique(rng.integers(0, 1 << 63, 80, dtype=np.uint64)) for _ in range(40)]
+    sets = [np.unique(np.concatenate([rng.permutation(base[i % 40])[: rng.integers(60, 80)], rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)])) for i in range(400)]
     sizes = np.array([len(s) for s in sets])
-    found = op4_jaccard_join.block_components(sets, sizes)
-    forest = op4_jaccard_join.Forest(len(sets))
-    for i in range(len(sets)):
-        for j in range(i):
-            if op4_jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j]):
-                forest.join(i, j)
-    assert found.tolist() == [forest.find(i) for i in range(len(sets))]
+    tree, forest, truth = op4_jaccard_join.SignatureTree(sets, sizes), op4_jaccard_join.Forest(len(sets)), op4_jaccard_join.Forest(len(sets))
+    found = op4_jaccard_join.traverse(tree, forest if forested else None)
+    pairs = [(j, i) for i in range(len(sets)) for j in range(i) if op4_jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])]
+    if not forested:
+        assert sorted((min(p), max(p)) for p in found) == sorted(pairs)
+        assert tree.seen["compared"] < len(sets) ** 2 / 20 and tree.seen["by_bitmap"] > tree.seen["nodes"] / 2
+        return
+    for i, j in pairs:
+        truth.join(i, j)
+    assert forest.labels().tolist() == truth.labels().tolist()
+
+
+def test_jaccard_links_and_rows_without_id(spark, rows, monkeypatch):
+    """All links between classes, with small and with dealt-out blocks; a row without doc_id names no component."""
+    for block in (2048, 4):
+        monkeypatch.setattr(op4_jaccard_join, "BLOCK", block)
+        pairs, members = op4_jaccard_join.links(spark, spark.createDataFrame(rows, SCHEMA))
+        cls = {r["doc_id"]: r["cls"] for r in members.collect()}
+        sets = {i: set(zip(*((SPACE.findall((t or "").lower()))[k:] for k in range(5)))) for i, t, *_ in rows}
+        truth = {tuple(sorted((cls[a], cls[b]))) for a in sets for b in sets if cls[a] != cls[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+        got_ = [(r["a"], r["b"]) for r in pairs.collect()]
+        assert len(got_) == len(set(got_)) and truth <= set(got_)
+        few = spark.createDataFrame([(5, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
+        found = sorted(map(str, ((r["doc_id"], r["component_id"]) for r in op4_jaccard_join.join(spark, few).collect())))
+        assert found == ["(5, 5)", "(9, 5)", "(None, None)"]
+
+
+def test_jaccard_of_common_shingles(spark, monkeypatch):
+    """Shingles that are hot in some deals only, and texts longer than a portion."""
+    from probecraft.llm import common
+
+    monkeypatch.setattr(common, "PORTION", 4096)
+    rng = random.Random(4)
+    line = sentence(rng, "en", 30)
+    rows = [(i, f"{line} {sentence(rng, 'de', rng.randint(0, 9))}", "x") for i in range(90)] + [(500, sentence(rng, "de", 3000), "x")]
+    rows += [(501, rows[-1][1] + " end", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string").repartition(4)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op4_jaccard_join.join(spark, docs).collect()}
+    assert found == jaccard_truth(rows)
+
+
+def test_hashed_words_are_words():
+    from probecraft.llm import common
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab é\t\n\x0b\u2003\x1c", k=rng.randint(0, 60))).encode() for _ in range(300)]
+    names = {}
+    for lo, hi, owner, h in common.word_sequences(texts):
+        words = [(i, w) for i in range(hi - lo) for w in re.split(rb"[\x20\x09-\x0D]+", texts[lo + i]) if w]
+        assert owner.tolist() == [i for i, _ in words]
+        assert all(names.setdefault(w, x) == x for (_, w), x in zip(words, h.tolist(), strict=True))
+    assert len(set(names.values())) == len(names) > 100
 
 
 def suffix_truth(rows, size=50):
