@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def settled(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df, if it only filters and selects from files, so that a task that runs again sees the same rows in the same order; else written."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return df if plan.children().size() == 0 and file_bytes(df) else scratch.write(df)
+
+
 class Scratch:
     """Written tables in the shared folder, which cut lineage and outlive executors."""
 
@@ -224,13 +232,13 @@ class Dealer:
         self.held, self.size = [], 0
         yield from self.packed(columns[0], columns)
 
-    def packed(self, key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def packed(self, key: np.ndarray, columns: list[np.ndarray], pack=lambda *c: c) -> Iterator[pa.RecordBatch]:
         bucket = (key % np.uint64(self.buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for k in np.flatnonzero(np.diff(edge)):
             own = order[edge[k] : edge[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([dumps(*(c[own] for c in columns))], pa.binary())], names=["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([dumps(*pack(*(c[own] for c in columns)))], pa.binary())], names=["bucket", "data"])
 
 
 DEALT = "bucket int, data binary"

@@ -1,9 +1,9 @@
 """Exact Jaccard join of word 5-gram sets with signature trees.
 
-1. Each text becomes a set of 64-bit shingle hashes; equal sets are one class.
-2. Shingles are dealt by hash; one that only a single class has is private. A class can only link if no more
-   of its shingles are private than a linked partner may lack, so all others are done at once. A shingle that HOT classes of one deal
-   have is dealt by shingle and class, and marked for the others, so that no bucket gets all its classes.
+1. Each text becomes a set of 56-bit shingle hashes; equal sets are one class. A task deals a class once, under a number of its own.
+2. Shingles are dealt by hash; one that only a single number has is private. A class can only link if no more
+   of its shingles are private than a linked partner may lack, so all others are done at once. A shingle that HOT numbers of one deal
+   have is dealt by shingle and number, and marked for the others, so that no bucket gets all of them.
 3. Classes that may link are dealt to shards so that linked ones meet: each points from its rarest shared shingles to the smallest
    class that lists them too (prefix filter in one global order), and no link leaves a connected component of these pointers.
    Many components share a shard; nothing but the shard follows from them.
@@ -28,9 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Dealer, Scratch, components, file_bytes, gathered, loads, mix, partitions, windows, word_sequences
+from .common import Dealer, Scratch, components, file_bytes, gathered, loads, mix, partitions, settled, windows, word_sequences
 
 #: Words of a shingle; 100 * intersection >= PERCENT * union links.
 WORDS, PERCENT = 5, 75
@@ -41,21 +42,21 @@ BITS, LEAST_WORDS, MOST_WORDS, PAIRS = 32, 16, 1024, 2048
 PIVOT_ROUNDS = 4
 #: Classes of one deal from which a shingle is dealt by class; MB of files for each bucket.
 HOT, BUCKET_MB = 16, 3
-#: Rarity of a hot shingle, after all others.
-COMMON = 255
+#: Rarity of a hot shingle, after all others; bytes of a shingle's hash.
+COMMON, WIDTH = 255, 7
 
 
 def sets_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, sorted distinct shingles of texts one after another, where each text's begin and the last end)."""
     for lo, hi, owner, h in word_sequences(texts):
         many = np.bincount(owner, minlength=hi - lo)
-        s = windows(h, WORDS)
+        s = windows(h, WORDS) >> np.uint64(64 - 8 * WIDTH)
         inside = owner[: len(s)] == owner[WORDS - 1 :]
         s, o = s[inside], owner[: len(s)][inside]
         few = np.flatnonzero((many > 0) & (many < WORDS))
         if len(few):
             end = np.cumsum(many)
-            whole = [windows(np.append(h[end[i] - many[i] : end[i]], np.uint64(many[i])), int(many[i]) + 1) for i in few]
+            whole = [windows(np.append(h[end[i] - many[i] : end[i]], np.uint64(many[i])), int(many[i]) + 1) >> np.uint64(64 - 8 * WIDTH) for i in few]
             s, o = np.concatenate([s, *whole]), np.concatenate([o, few])
         order = np.lexsort((s, o))
         s, o = s[order], o[order]
@@ -243,17 +244,19 @@ def traverse(tree: SignatureTree, forest: Forest | None = None, side: np.ndarray
 def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every document, and (cls, n, shared, prefix) of the classes that may link.
 
-    The second has the class's shingles that other classes have too, sorted, and the rarest of them.
+    The second has the class's shingles that others have too, sorted, and the rarest of them.
     """
+    docs = settled(docs.select("doc_id", "text"), scratch)
     n_parts = partitions(docs.sparkSession, docs, 64)
     buckets = max(n_parts, -(-file_bytes(docs) // (BUCKET_MB << 20)))
 
     def sets_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen = HotDealer(buckets), set()
+        base = TaskContext.get().partitionId() << 32
+        dealer, seen, count = HotDealer(buckets, base), set(), 0
         for b in it:
             for first in range(0, len(b), 2000):
                 part = b.slice(first, 2000)
-                ns, names = [], []
+                ns, names, numbers = [], [], []
                 for _, s, edge in sets_of([_plain(t) for t in part.column(1).to_pylist()]):
                     c, n = names_of(s, edge), np.diff(edge)
                     ns.append(n)
@@ -265,12 +268,16 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                         if x not in seen:
                             seen.add(x)
                             new[i] = n[i] > 0
-                    yield from map(_wide, dealer.add(s[np.repeat(new, n)], np.repeat(c[new], n[new]), np.repeat(n[new], n[new]).astype(np.int32)))
-                size = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), part.column(0).cast(pa.int64()), pa.array(np.concatenate(ns)), pa.array(np.concatenate(names))], names=WIDE)
+                    number = np.where(new, count + np.cumsum(new) - 1, -1)
+                    numbers.append(number)
+                    count += int(new.sum())
+                    yield from map(_wide, dealer.add(s[np.repeat(new, n)], np.repeat(number[new], n[new]).astype(np.uint32), np.repeat(n[new], n[new]).astype(np.int32)))
+                size, number = len(part), np.concatenate(numbers)
+                number = pa.array(number + base, pa.int64(), mask=number < 0)
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), part.column(0).cast(pa.int64()), pa.array(np.concatenate(ns)), pa.array(np.concatenate(names)), number], names=WIDE)
         yield from map(_wide, dealer.flush())
 
-    dealt = docs.select("doc_id", "text").mapInArrow(sets_out, DEALT_WIDE)
+    dealt = docs.mapInArrow(sets_out, DEALT_WIDE)
     key = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int"))
 
     def private_or_shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +297,7 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 if bucket != at:
                     yield from finish()
                 at = bucket
-                held.append(loads(data))
+                held.append(_unpack(loads(data)))
         yield from finish()
         yield from map(_wide, dealer.flush())
 
@@ -299,78 +306,88 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     documents = mixed.filter("data is null").select("doc_id", "n", "cls")
 
     def assemble(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cls, shingle, rarity, size = arrays
-        order = np.lexsort((shingle, rarity, cls))
-        cls, shingle, rarity, size = cls[order], shingle[order], rarity[order], size[order]
-        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (shingle[1:] != shingle[:-1])])
-        cls, shingle, size = cls[new], shingle[new], size[new]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])), len(cls))
+        number, shingle, rarity, size = arrays
+        order = np.lexsort((shingle, rarity, number))
+        number, shingle, size = number[order], shingle[order], size[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])), len(number))
         rows = []
         for a, c in zip(edge, edge[1:], strict=False):
             s, n = shingle[a:c], int(size[a])
             private = n - len(s)
             if private > spare(n):
                 continue
-            rows.append((int(cls[a].view(np.int64)), n, np.sort(s).tobytes(), s[: spare(n) - private + 1].view(np.int64)))
+            rows.append((int(number[a]), n, np.sort(s).tobytes(), s[: spare(n) - private + 1].view(np.int64)))
         for lo in range(0, len(rows), 500):
             part = rows[lo : lo + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["cls", "n", "shared", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["number", "n", "shared", "prefix"])
 
-    near = gathered(mixed.filter("data is not null").select("bucket", "data"), n_parts, assemble, "cls long, n long, shared binary, prefix array<long>")
-    return documents, scratch.write(near)
+    near = gathered(mixed.filter("data is not null").select("bucket", "data"), n_parts, assemble, "number long, n long, shared binary, prefix array<long>")
+    # A class that several tasks dealt has one number of each; one of them stays.
+    names = mixed.filter("number is not null").groupBy("cls").agg(F.min("number").alias("number"))
+    return documents, scratch.write(near.join(names, "number").select("cls", "n", "shared", "prefix"))
 
 
-WIDE = ["bucket", "data", "doc_id", "n", "cls"]
-DEALT_WIDE = "bucket int, data binary, doc_id long, n long, cls long"
+WIDE = ["bucket", "data", "doc_id", "n", "cls", "number"]
+DEALT_WIDE = "bucket int, data binary, doc_id long, n long, cls long, number long"
 
 
 def _wide(b: pa.RecordBatch) -> pa.RecordBatch:
     none = pa.nulls(len(b), pa.int64())
-    return pa.RecordBatch.from_arrays([*b.columns, none, none, none], names=WIDE)
+    return pa.RecordBatch.from_arrays([*b.columns, none, none, none, none], names=WIDE)
 
 
 class HotDealer(Dealer):
-    """Deals (shingle, class, size); a shingle that HOT classes here have goes by shingle and class, and a marker to its own bucket."""
+    """Deals (shingle, number, size); a shingle that HOT numbers here have goes by shingle and number, and a marker to its own bucket."""
 
-    def __init__(self, buckets: int):
-        super().__init__(buckets, 1_000_000)
+    def __init__(self, buckets: int, base: int):
+        super().__init__(buckets, 1_500_000)
+        self.base = base
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
         s, c, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
         order = np.argsort(s, kind="stable")
-        s, c, n = s[order], c[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        many = np.diff(np.append(start, len(s)))
-        hot = np.repeat(many >= HOT, many)
-        mark = s[start[many >= HOT]]
-        key = np.where(hot, mix(s ^ mix(c.view(np.uint64))), s)
+        t = s[order]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        many = np.diff(np.append(start, len(t)))
+        hot = np.empty(len(s), np.uint8)
+        hot[order] = np.repeat(many >= HOT, many)
+        mark = t[start[many >= HOT]]
+        del order, t
+        key = s.copy()
+        at = np.flatnonzero(hot)
+        key[at] = mix(s[at] ^ mix(c[at].astype(np.uint64) + np.uint64(self.base)))
+        last = np.full(len(mark), c[-1])
         none = np.zeros(len(mark), np.int32)
-        self.held, self.size = [], 0
-        yield from self.packed(np.append(key, mark), [np.append(s, mark), np.append(c, none), np.append(n, none), np.append(hot, none + 2).astype(np.uint8)])
+        # Numbers ascend, so that they are packed as small differences, however many buckets there are.
+        yield from self.packed(np.append(key, mark), [np.append(s, mark), np.append(c, last), np.append(n, none), np.append(hot, none + 2).astype(np.uint8)], self.small)
+
+    def small(self, s: np.ndarray, c: np.ndarray, n: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
+        """The low bytes of the shingles, the first number and the steps from each to the next, sizes and kinds."""
+        step = np.diff(c, prepend=c[:1])
+        return [s.view(np.uint8).reshape(-1, 8)[:, :WIDTH], np.array([self.base + int(c[0])]), step.astype(np.min_scalar_type(int(step.max()))), n, kind]
+
+
+def _unpack(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    low, first, step, n, kind = arrays
+    s = np.zeros((len(low), 8), np.uint8)
+    s[:, :WIDTH] = low
+    return [s.view(np.uint64).ravel(), first[0] + np.cumsum(step, dtype=np.int64), n, kind]
 
 
 def _shared(arrays: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Class, shingle, rarity (log2 of the classes that have it, COMMON if hot) and size of the shared shingles of a bucket."""
+    """Number, shingle, rarity (log2 of the numbers that have it, COMMON if hot) and size of the shared shingles of a bucket."""
     s, c, n, kind = arrays
-    sure = kind == 1
-    rest = np.flatnonzero(~sure)
-    rest = rest[np.lexsort((c[rest], s[rest]))]
-    t, d, k = s[rest], c[rest], kind[rest]
-    # A class comes once from each task that saw it; a marker counts as no class.
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1]) | (k[1:] != k[:-1])])[: len(t)]
-    rest, t, k = rest[new], t[new], k[new]
-    if len(t):
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        many = np.diff(np.append(start, len(t)))
-        rarity = np.repeat(np.where(np.maximum.reduceat(k, start) == 2, COMMON, np.log2(many).astype(np.int64)), many)
-        keep = (k == 0) & np.repeat(many > 1, many)
-        rest, rarity = rest[keep], rarity[keep]
-    else:
-        rarity = np.empty(0, np.int64)
-    at = np.concatenate([np.flatnonzero(sure), rest])
-    return c[at].view(np.uint64), s[at], np.concatenate([np.full(int(sure.sum()), COMMON), rarity]).astype(np.uint8), n[at]
+    order = np.argsort(s, kind="stable")
+    s, c, n, kind = s[order], c[order], n[order], kind[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    many = np.add.reduceat((kind == 0).astype(np.int64), start)
+    rarity = np.where(np.maximum.reduceat(kind, start) > 0, COMMON, np.log2(np.maximum(many, 1)).astype(np.int64)).astype(np.uint8)
+    rarity = np.repeat(rarity, np.diff(np.append(start, len(s))))
+    keep = (kind < 2) & (rarity > 0)
+    return c[keep].view(np.uint64), s[keep], rarity[keep], n[keep]
 
 
 def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
