@@ -32,12 +32,10 @@ TOKEN = r"[a-z0-9][a-z0-9'_-]*"
 
 CLOSERS = "[\"')\\]”’]"
 _ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-#: Zero-width places after a terminator run that ends a sentence.
-BOUNDARY = (
-    rf"(?<=[.!?]{CLOSERS}{{0,4}})"
-    rf"(?<!(?:^|[^A-Za-z.])\.{{0,3}}(?i:{_ABBREVIATED}|[a-z])\.[.!?]{{0,4}}{CLOSERS}{{0,4}})"
-    r"(?=(?U:\s)+(?U:[^\s\p{Ll}]))"
-)
+#: A run of terminators and closers of any length, the white space after it, and what goes before a new sentence.
+TERMINATED = rf"[.!?]+{CLOSERS}*(?U:\s)+(?=(?U:[^\s\p{{Ll}}]))"
+#: A piece that an abbreviation or an initial ends, so that the next piece goes on with its sentence.
+UNFINISHED = rf"(?:^|[^A-Za-z.])\.*(?i:{_ABBREVIATED}|[a-z])\.[.!?]*{CLOSERS}*(?U:\s)*$"
 
 
 def strip(text: Column) -> Column:
@@ -50,16 +48,25 @@ def word_count(text: Column) -> Column:
 
 
 def sentence_spans(text: Column) -> Column:
-    """Array of (text, start, end): trimmed sentences with code-point offsets."""
-    pieces = F.split(F.coalesce(text, F.lit("")), BOUNDARY)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-
-    def add(acc: Column, piece: Column) -> Column:
+    """Array of (text, start, end): trimmed sentences with code-point offsets.
+
+    Each terminated run gets a mark behind its white space, by which the text is cut; no look-behind bounds how long a run may be. A piece that
+    an abbreviation ends goes on with the next.
+    """
+    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"({TERMINATED})", "$1\x00\uffff"), "\x00\uffff")
+    # The outer array has the pieces cut once; the last one ends a sentence in any case.
+    pieces = F.element_at(F.transform(F.array(cut), lambda ps: F.transform(ps, lambda p, i: F.struct(p.alias("p"), ((i == F.size(ps) - 1) | ~p.rlike(UNFINISHED)).alias("done")))), 1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("held"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        piece = F.concat(acc["held"], x["p"])
         lead = F.char_length(piece) - F.char_length(F.regexp_replace(piece, r"(?U)^\s+", ""))
         body = strip(piece)
         start = acc["at"] + lead
         span = F.struct(body.alias("text"), start.alias("start"), (start + F.char_length(body)).alias("end"))
-        return F.struct((acc["at"] + F.char_length(piece)).alias("at"), F.when(body == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+        at = F.when(x["done"], acc["at"] + F.char_length(piece)).otherwise(acc["at"])
+        out = F.when(~x["done"] | (body == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
+        return F.struct(at.alias("at"), F.when(x["done"], F.lit("")).otherwise(piece).alias("held"), out.alias("out"))
 
     return F.aggregate(pieces, zero, add, lambda acc: acc["out"])
 

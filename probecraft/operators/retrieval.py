@@ -30,30 +30,57 @@ class RetrievalPolicy:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf."""
-    return chunks.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, len, term, tf: each text is tokenised once."""
+    words = chunks.select("chunk_id", tokenize(F.col("text")).alias("words"))
+    return words.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tokenize(F.col("text"))).alias("len"))
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df marked for broadcast if it has no more than rows rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def term_stats(posts: DataFrame, n: Column) -> Column:
     return F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, limit: int = 24) -> DataFrame:
-    """qid, chunk_id, score, rank from 0. Only postings of asked terms are joined; the question terms are the small side."""
-    size = lengths(chunks)
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+def removed_chunks(chunks: DataFrame, removed: DataFrame) -> DataFrame:
+    """qid, chunk_id, text of the chunks whose documents a question goes without: removed has qid and doc_id."""
+    return chunks.select("chunk_id", "text", F.col("doc_id").cast("string").alias("doc_id")).join(small(removed), "doc_id").select("qid", "chunk_id", "text")
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, limit: int = 24, gone: DataFrame | None = None) -> DataFrame:
+    """qid, chunk_id, score, rank from 0. Only postings of asked terms go on; the question terms are the small side.
+
+    gone (qid, chunk_id, text) lists what is not in a question's corpus: it is taken off the corpus statistics, so no corpus is built anew.
+    """
+    stats = lengths(chunks).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
     asked = questions.select("qid", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("m"))
-    posts = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = postings(chunks).join(small(asked.select("term").distinct()), "term", "left_semi")
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = posts.join(df, "term").join(size, "chunk_id").join(asked, "term").join(F.broadcast(stats))
+    known = asked.join(df, "term").join(F.broadcast(stats))  # stats is one row and df a row for each asked term
+    if gone is not None:
+        less = gone.withColumn("len", F.size(tokenize(F.col("text")))).groupBy("qid").agg(F.count(F.lit(1)).alias("n0"), F.sum("len").alias("total0"))
+        fewer = gone.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df0"))
+        off = lambda a, b: (F.col(a) - F.coalesce(b, F.lit(0))).alias(a)
+        known = known.join(less, "qid", "left").join(fewer, ["qid", "term"], "left").select("qid", "term", "m", off("df", "df0"), off("n", "n0"), off("total", "total0"))
+    weighed = known.select("qid", "term", (F.col("total") / F.col("n")).alias("mean"), (F.col("m") * term_stats(posts, F.col("n"))).alias("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))
-    total = scored.groupBy("qid", "chunk_id").agg(F.sum(F.col("m") * term_stats(posts, F.col("n")) * F.col("tf") * (K1 + 1) / norm).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    return total.filter("score > 0").withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
+    scored = posts.join(weighed, "term")
+    if gone is not None:
+        scored = scored.join(gone.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+    total = scored.groupBy("qid", "chunk_id").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    return ranked(total.filter("score > 0"), "score", limit)
+
+
+def ranked(rows: DataFrame, score: str, limit: int) -> DataFrame:
+    """The first rows of each qid, with rank from 0; the limit reaches the sort."""
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round(score, 9)), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
 def hashed_grams(texts: DataFrame, key: str, dims: int) -> DataFrame:
@@ -71,19 +98,71 @@ def sparse_cosine(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFram
     return a.join(b.withColumnRenamed("w", "v"), "bucket").groupBy(left, right).agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
 
 
-def dense(similar: DataFrame, n_chunks: int, policy: RetrievalPolicy) -> DataFrame:
-    """qid, chunk_id, score, rank: top candidates above the mean by min_z population deviations over all chunks.
+#: Bytes of question vectors that meet the chunks in one pass.
+QUESTION_BYTES = 64 << 20
+
 
-    similar has qid, chunk_id and cosine; pairs it lacks count as 0 in the mean and deviation.
+def nearest(vectors: DataFrame, asked: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(qid, chunk_id, cosine): the first chunks of each question; (qid, n, total, square): moments of its cosines over all chunks.
+
+    vectors has chunk_id and vec, asked qid and vec, all of length one. Products are of whole blocks; a task keeps no more than
+    limit chunks of a question. Questions beyond QUESTION_BYTES go in several passes.
     """
-    own = Window.partitionBy("qid")
-    mean = F.sum("cosine").over(own) / n_chunks
-    square = F.sum(F.col("cosine") * F.col("cosine")).over(own) / n_chunks
-    spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    rows = similar.withColumn("floor", F.when((F.lit(n_chunks) < policy.min_corpus_for_z) | (spread == 0), F.lit(0.0)).otherwise(mean + policy.min_z * spread))
-    order = own.orderBy(F.desc(F.round("cosine", 9)), "chunk_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < policy.candidates)
-    return ranked.filter((F.col("cosine") > 0) & (F.col("cosine") >= F.col("floor"))).select("qid", "chunk_id", F.col("cosine").alias("score"), "rank")
+    d = (asked.select(F.size("vec")).first() or [1])[0]
+    passes = -(-asked.count() * d * 8 // QUESTION_BYTES)
+    parts = [_nearest(vectors, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i) if passes > 1 else asked, limit) for i in range(max(1, passes))]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    top = ranked(both.filter("chunk_id is not null").select("qid", "chunk_id", F.col("a").alias("cosine")), "cosine", limit)
+    moments = both.filter("chunk_id is null").groupBy("qid").agg(F.sum("n").alias("n"), F.sum("a").alias("total"), F.sum("b").alias("square"))
+    return top.drop("rank"), moments
+
+
+def _nearest(vectors: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    questions = asked.select("qid", "vec").toPandas()
+    names = questions["qid"].to_numpy()
+    q = np.stack(questions["vec"]).astype(float) if len(questions) else np.zeros((0, 1))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = [None] * len(q)
+        n, total, square = 0, np.zeros(len(q)), np.zeros(len(q))
+        for frame in it:
+            for lo in range(0, len(frame), 4096):
+                part = frame.iloc[lo : lo + 4096]
+                x, ids = np.stack(part["vec"]).astype(float), part["chunk_id"].to_numpy()
+                for k in range(0, len(q), 1024):
+                    cosine = q[k : k + 1024] @ x.T
+                    total[k : k + 1024] += cosine.sum(1)
+                    square[k : k + 1024] += (cosine * cosine).sum(1)
+                    near = np.round(cosine, 9)
+                    for i in range(len(near)):
+                        at = np.arange(len(ids))
+                        if len(ids) > limit:
+                            at = np.flatnonzero(near[i] >= -np.partition(-near[i], limit - 1)[limit - 1])
+                        c, r, o = cosine[i][at], near[i][at], ids[at]
+                        if held[k + i] is not None:
+                            c, r, o = (np.concatenate(v) for v in zip(held[k + i], (c, r, o), strict=True))
+                        best = np.lexsort((o, -r))[:limit]
+                        held[k + i] = (c[best], r[best], o[best])
+                n += len(ids)
+        for i, h in enumerate(held):
+            if h is not None:
+                yield pd.DataFrame({"qid": names[i], "chunk_id": h[2], "n": 0, "a": h[0], "b": 0.0})
+        if n:
+            yield pd.DataFrame({"qid": names, "chunk_id": None, "n": n, "a": total, "b": square})
+
+    kind = {f.name: f.dataType.simpleString() for f in (*vectors.schema.fields, *asked.schema.fields)}
+    return vectors.select("chunk_id", "vec").mapInPandas(run, f"qid {kind['qid']}, chunk_id {kind['chunk_id']}, n long, a double, b double")
+
+
+def dense(near: DataFrame, moments: DataFrame, policy: RetrievalPolicy) -> DataFrame:
+    """qid, chunk_id, score, rank: top candidates above the mean by min_z population deviations over all chunks (as from nearest)."""
+    mean = F.col("total") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("square") / F.col("n") - mean * mean, F.lit(0.0)))
+    floor = F.when((F.col("n") < policy.min_corpus_for_z) | (spread < 1e-9), F.lit(0.0)).otherwise(mean + policy.min_z * spread)
+    rows = ranked(near, "cosine", policy.candidates).join(moments.select("qid", floor.alias("floor")), "qid")
+    return rows.filter((F.col("cosine") > 0) & (F.col("cosine") >= F.col("floor"))).select("qid", "chunk_id", F.col("cosine").alias("score"), "rank")
 
 
 def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
@@ -142,39 +221,79 @@ def diversify(ranked: DataFrame, policy: RetrievalPolicy) -> DataFrame:
     return ranked.filter(F.col("place") < size).groupBy("qid").applyInPandas(pick, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double, position int")
 
 
+def search(chunks: DataFrame, questions: DataFrame, embed, policy: RetrievalPolicy | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """What each question retrieves: qid, position, chunk_id, doc_id, ordinal, text, score, lexical_rank, dense_rank.
+
+    chunks has chunk_id, doc_id, ordinal and text, questions qid and question; embed gives (text, vec) of distinct texts. Equal scores
+    keep the order in which lexical hits, dense hits and their neighbours came up. A question without hits has no rows. removed
+    (qid, doc_id) lists documents that a question searches without, as if its corpus had never held them.
+    """
+    policy = policy or RetrievalPolicy()
+    asked = questions.select("qid", F.col("question").alias("text"))
+    vectors = embed(chunks.select("text").unionByName(asked.select("text")).distinct())
+    placed = chunks.select("chunk_id", "text").join(vectors, "text").select("chunk_id", "vec")
+    asked = asked.join(vectors, "text").select("qid", "vec")
+    gone = None if removed is None else removed_chunks(chunks, removed)
+    if gone is None:
+        near, moments = nearest(placed, asked, policy.candidates)
+    else:
+        most = gone.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+        near, moments = nearest(placed, asked, policy.candidates + most)
+        near = near.join(gone.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+        own = gone.join(placed, "chunk_id").join(asked.withColumnRenamed("vec", "asked"), "qid").select("qid", dot(F.col("asked"), F.col("vec")).alias("c"))
+        less = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n0"), F.sum("c").alias("total0"), F.sum(F.col("c") * F.col("c")).alias("square0"))
+        off = lambda a: (F.col(a) - F.coalesce(f"{a}0", F.lit(0))).alias(a)
+        moments = moments.join(less, "qid", "left").select("qid", off("n"), off("total"), off("square"))
+    fused = fuse(bm25(chunks, questions, policy.candidates, gone), dense(near, moments, policy))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "seq", "chunk_id")
+    size = max(policy.candidates, policy.top_k)
+    pool = expand(fused, chunks, policy).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).withColumn("place", F.col("place") - 1)
+    mine = asked.withColumnRenamed("vec", "asked")
+    full = pool.join(placed.withColumnRenamed("vec", "vector"), "chunk_id").join(mine, "qid").withColumn("relevance", dot(F.col("asked"), F.col("vector")))
+    picked = diversify(full.select("qid", "chunk_id", "place", "relevance", "promoted", "vector", "score"), policy)
+    ranks = pool.select("qid", "chunk_id", "lexical_rank", "dense_rank")
+    return picked.join(ranks, ["qid", "chunk_id"]).join(chunks.select("chunk_id", "doc_id", "ordinal", "text"), "chunk_id").select("qid", "position", "chunk_id", "doc_id", "ordinal", "text", "score", "lexical_rank", "dense_rank")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def unit(v: Column) -> Column:
-    """Length one; zero vectors stay."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    """Length one; zero vectors stay. The outer array has the norm computed once, not for each element."""
+    norm = F.array(F.sqrt(dot(v, v)))
+    return F.element_at(F.transform(norm, lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))), 1)
 
 
-def blake_vectors(texts: DataFrame, dims: int = 512) -> DataFrame:
-    """text with vec: hashed gram vectors with 4-byte blake2b buckets, by Arrow batches."""
+def gram_vectors(texts: DataFrame, dims: int = 512, digest: str = "md5") -> DataFrame:
+    """text with vec of length one: 1 + ln count of its grams, summed in buckets of their 4-byte md5 or blake2b digests."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
         import re
+        from collections import Counter
 
+        make = (lambda g: hashlib.md5(g).digest()[:4]) if digest == "md5" else (lambda g: hashlib.blake2b(g, digest_size=4).digest())
+        known: dict[str, int] = {}
         for b in it:
             out = []
             for text in b["text"]:
                 p = f" {' '.join(re.findall('[a-z0-9]+', (text or '').lower()))} "
-                counts: dict[str, int] = {}
-                for n in (3, 4, 5):
-                    for i in range(len(p) - n + 1):
-                        counts[p[i : i + n]] = counts.get(p[i : i + n], 0) + 1
-                v = np.zeros(dims)
-                for g, c in counts.items():
-                    v[int.from_bytes(hashlib.blake2b(g.encode(), digest_size=4).digest(), "big") % dims] += 1 + np.log(c)
-                norm = np.linalg.norm(v)
-                out.append((v / (norm or 1)).astype("float32"))
+                counts = Counter(p[i : i + n] for n in (3, 4, 5) for i in range(len(p) - n + 1))
+                if len(known) > 500_000:
+                    known.clear()
+                for g in counts.keys() - known.keys():
+                    known[g] = int.from_bytes(make(g.encode()), "big") % dims
+                at = np.fromiter(map(known.__getitem__, counts), int, len(counts))
+                v = np.bincount(at, 1 + np.log(np.fromiter(counts.values(), float, len(counts))), dims)
+                out.append(v / (np.linalg.norm(v) or 1))
             yield pd.DataFrame({"text": b["text"], "vec": out})
 
-    return texts.select("text").distinct().mapInPandas(run, "text string, vec array<float>")
+    return texts.select("text").distinct().mapInPandas(run, "text string, vec array<double>")
+
+
+def blake_vectors(texts: DataFrame, dims: int = 512) -> DataFrame:
+    return gram_vectors(texts, dims, "blake2b").withColumn("vec", F.col("vec").cast("array<float>"))
 
 
 def embed_missing(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
@@ -182,6 +301,84 @@ def embed_missing(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
     return cache.unionByName(embed(texts.select("text").distinct().join(cache, "text", "left_anti")))
 
 
+def cached(cache: DataFrame, embed):
+    """An embedder that asks embed only for texts that cache lacks, and gives just the texts asked for."""
+    return lambda texts: embed_missing(texts, cache, embed).join(texts.select("text").distinct(), "text", "left_semi")
+
+
+def frozen(cache: DataFrame):
+    """An embedder of recorded vectors; a text without one raises."""
+
+    def embed(texts: DataFrame) -> DataFrame:
+        missing = texts.select("text").distinct().join(cache, "text", "left_anti").limit(1).collect()
+        if missing:
+            raise LookupError(f"no recorded vector for {missing[0][0][:80]!r}")
+        return cache.join(texts.select("text").distinct(), "text", "left_semi")
+
+    return embed
+
+
+def cache_use(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """hits and misses: rows of texts whose vector the cache has, and distinct texts that it lacks."""
+    known = texts.select("text").join(cache.select("text", F.lit(True).alias("hit")), "text", "left")
+    return known.agg(F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit").isNull(), F.col("text"))).alias("misses"))
+
+
+#: Names of embedders and their dimensions by default.
+EMBEDDERS = {"ngram": 512, "ngram-md5": 512}
+
+
+def embedder(name: str = "ngram", dims: int | None = None, cache: DataFrame | None = None):
+    """An embedder by name (with its identity as .identity), which asks only for what cache lacks if there is one."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedder {name!r}; there are {', '.join(EMBEDDERS)}")
+    size = dims or EMBEDDERS[name]
+    own = lambda texts: gram_vectors(texts, size, "blake2b" if name == "ngram" else "md5")
+    out = cached(cache, own) if cache is not None else own
+    out.identity = f"{name}-{size}"
+    return out
+
+
+def vectors_for(vectors: DataFrame, wanted: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """wanted with the vectors of its keys; a key that has none raises."""
+    missing = wanted.join(vectors, key, "left_anti").select(key).limit(1).collect()
+    if missing:
+        raise LookupError(f"no vector for {missing[0][0]}")
+    return wanted.join(vectors, key)
+
+
+def batched(call, size: int = 96, attempts: int = 4, most: float = 8.0, retry=(ConnectionError, TimeoutError)):
+    """An embedder from call(list of texts) -> list of vectors, as a remote service has: Arrow batches are cut to size texts, and
+    an error of the kinds in retry is tried again after a growing pause with jitter. Nothing here opens a connection itself."""
+
+    def embed(texts: DataFrame) -> DataFrame:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in it:
+                for lo in range(0, len(b), size):
+                    part = b["text"].iloc[lo : lo + size].tolist()
+                    got = np.asarray(retried(lambda part=part: call(part), attempts, most, retry), float)
+                    norm = np.linalg.norm(got, axis=1, keepdims=True)
+                    yield pd.DataFrame({"text": part, "vec": list(got / np.where(norm == 0, 1, norm))})
+
+        return texts.select("text").distinct().mapInPandas(run, "text string, vec array<double>")
+
+    return embed
+
+
+def retried(act, attempts: int = 4, most: float = 8.0, retry=(ConnectionError, TimeoutError)):
+    """act(), tried again after errors of the kinds in retry, with pauses that double up to most seconds."""
+    import random
+    import time
+
+    for i in range(attempts):
+        try:
+            return act()
+        except retry:
+            if i + 1 == attempts:
+                raise
+            time.sleep(min(most, 0.5 * 2**i) * random.random())
+
+
 def project(vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
     """key, x, y, explained: the first two principal components. Moments are one aggregation of d x d sums."""
     d = len(vectors.select(column).first()[0])
