@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import chunking, retrieval as R
 from ..sources import corpus
 from ..streaming import events as E
-from . import experiment as X
+from . import ask as A, experiment as X, report
 
 QUERIES, ORACLES = {}, {}
 
@@ -169,17 +171,17 @@ def vector_norm(spark, sf):
 CENTRES = "c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL), n AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM c), v AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)), s AS (SELECT label AS qid, vec_id AS chunk_id, sum(n.x * v.x) AS cosine FROM n JOIN v USING (i) GROUP BY ALL)"
 
 
-def label_similarity(spark, sf) -> DataFrame:
-    """Cosine of every vector with the mean of each label: labels are questions."""
+def label_questions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Vectors as chunks, and the mean of each label as a question."""
     e = table(spark, sf, "embeddings")
     centre = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("c"))
-    return e.join(F.broadcast(centre.withColumnRenamed("label", "qid"))).select("qid", F.col("vec_id").alias("chunk_id"), R.dot(R.unit(F.col("c")), R.unit(F.col("embedding"))).alias("cosine"))
+    return e.select(F.col("vec_id").alias("chunk_id"), R.unit(F.col("embedding").cast("array<double>")).alias("vec")), centre.select(F.col("label").alias("qid"), R.unit(F.col("c")).alias("vec"))
 
 
 @registered(f"WITH {CENTRES} SELECT qid, chunk_id, round(cosine, 6) AS cosine, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, chunk_id) - 1 AS r FROM s) WHERE r < 24")
 def cosine_topk(spark, sf):
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 9)), "chunk_id")
-    return label_similarity(spark, sf).withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter("rank < 24").withColumn("cosine", F.round("cosine", 6))
+    near, _ = R.nearest(*label_questions(spark, sf), 24)
+    return R.ranked(near, "cosine", 24).select("qid", "chunk_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 DENSE = ", f AS (SELECT qid, avg(cosine) + stddev_pop(cosine) AS fl FROM s GROUP BY qid), dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, chunk_id) - 1 AS r FROM s) "
@@ -187,16 +189,26 @@ DENSE = ", f AS (SELECT qid, avg(cosine) + stddev_pop(cosine) AS fl FROM s GROUP
 
 @registered(f"WITH {CENTRES}{DENSE} SELECT qid, chunk_id, round(cosine, 6) AS score, r AS rank FROM dr JOIN f USING (qid) WHERE r < 24 AND cosine > 0 AND cosine >= fl")
 def dense_floor(spark, sf):
-    n = table(spark, sf, "embeddings").count()
-    return R.dense(label_similarity(spark, sf), n, R.RetrievalPolicy()).select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    rows = R.dense(*R.nearest(*label_questions(spark, sf), 24), R.RetrievalPolicy())
+    return rows.select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@registered()
+def picks(pool: str, like: str, k: int, diversity: float) -> str:
+    """SQL of greedy picks: pool has qid, place, rel, promoted, like has qid, i, j, c. c1 to ck hold the picks so far."""
+    out = [f"c1 AS MATERIALIZED (SELECT qid, 0 AS position, 0 AS place FROM {pool} WHERE place = 0)"]
+    for n in range(2, k + 1):
+        value = f"round({1 - diversity} * any_value(p.rel) - {diversity} * max(coalesce(l.c, 0)) * CASE WHEN any_value(p.promoted) THEN 0.1 ELSE 1 END, 12)"
+        out.append(f"c{n} AS MATERIALIZED (SELECT * FROM c{n - 1} UNION ALL SELECT qid, {n - 1}, place FROM (SELECT p.qid, p.place, row_number() OVER (PARTITION BY p.qid ORDER BY {value} DESC, p.place) AS rn FROM {pool} p JOIN c{n - 1} c ON c.qid = p.qid LEFT JOIN {like} l ON l.qid = p.qid AND l.i = p.place AND l.j = c.place WHERE NOT EXISTS (SELECT 1 FROM c{n - 1} x WHERE x.qid = p.qid AND x.place = p.place) GROUP BY p.qid, p.place) WHERE rn = 1)")
+    return ", ".join(out)
+
+
+@registered(f"WITH {CENTRES}, po AS MATERIALIZED (SELECT * FROM (SELECT qid, chunk_id, cosine AS rel, false AS promoted, row_number() OVER (PARTITION BY qid ORDER BY round(cosine, 9) DESC, chunk_id) - 1 AS place FROM s) WHERE place < 24), li AS MATERIALIZED (SELECT a.qid, a.place AS i, b.place AS j, sum(x.x * y.x) AS c FROM po a JOIN po b ON a.qid = b.qid JOIN v x ON x.vec_id = a.chunk_id JOIN v y ON y.vec_id = b.chunk_id AND y.i = x.i GROUP BY ALL), {picks('po', 'li', 6, 0.8)} SELECT po.qid, chunk_id, round(rel, 6) AS score, position::BIGINT AS position FROM c6 JOIN po ON po.qid = c6.qid AND po.place = c6.place")
 def mmr_select(spark, sf):
-    pool = label_similarity(spark, sf)
-    order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "chunk_id")
-    pool = pool.withColumn("place", F.row_number().over(order) - 1).filter("place < 24").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), R.unit(F.col("embedding")).alias("vector")), "chunk_id")
-    return R.diversify(pool.select("qid", "chunk_id", "place", F.col("cosine").alias("relevance"), F.lit(False).alias("promoted"), "vector", F.col("cosine").alias("score")), R.RetrievalPolicy(diversity=0.8))
+    vectors, asked_ = label_questions(spark, sf)
+    near, _ = R.nearest(vectors, asked_, 24)
+    pool = R.ranked(near, "cosine", 24).join(vectors.withColumnRenamed("vec", "vector"), "chunk_id")
+    rows = R.diversify(pool.select("qid", "chunk_id", F.col("rank").alias("place"), F.col("cosine").alias("relevance"), F.lit(False).alias("promoted"), "vector", F.col("cosine").alias("score")), R.RetrievalPolicy(diversity=0.8))
+    return rows.select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 
 @registered()
@@ -206,10 +218,9 @@ def pca_projection(spark, sf):
 
 def lexical_and_dense(spark, sf):
     chunks, q = turns(spark, sf), asked(spark, sf)
-    lexical = R.bm25(chunks, q)
-    a = R.hashed_grams(q.withColumnRenamed("question", "text"), "qid", 512)
-    b = R.hashed_grams(chunks, "chunk_id", 512)
-    return chunks, lexical, R.dense(R.sparse_cosine(a, b, "qid", "chunk_id"), chunks.count(), R.RetrievalPolicy())
+    a = R.gram_vectors(q.select(F.col("question").alias("text"))).join(q, F.col("text") == F.col("question")).select("qid", "vec")
+    b = R.gram_vectors(chunks).join(chunks.select("chunk_id", "text"), "text").select("chunk_id", "vec")
+    return chunks, R.bm25(chunks, q), R.dense(*R.nearest(b, a, 24), R.RetrievalPolicy())
 
 
 TURN_SEARCH = (
@@ -239,15 +250,31 @@ def neighbor_expand(spark, sf):
     return R.expand(R.fuse(lexical, vector), chunks, R.RetrievalPolicy()).select("qid", "chunk_id", F.round("score", 8).alias("score"), "promoted")
 
 
+@registered(
+    TURN_SEARCH
+    + """, fs AS (SELECT *, coalesce(lexical_rank, dense_rank + 1000000) AS seq FROM fu),
+pl AS (SELECT fs.*, d.conv_id, d.turn, row_number() OVER (PARTITION BY qid ORDER BY seq, chunk_id) AS nr FROM fs JOIN documents d ON d.doc_id = fs.chunk_id),
+ne AS (SELECT pl.qid, d.doc_id AS chunk_id, max(pl.score * pow(0.82, abs(d.turn - pl.turn))) AS near, min(2000000 + nr * 100 + abs(d.turn - pl.turn) * 2 + CASE WHEN d.turn > pl.turn THEN 1 ELSE 0 END) AS by_ FROM pl JOIN documents d ON d.conv_id = pl.conv_id AND abs(d.turn - pl.turn) BETWEEN 1 AND 2 GROUP BY ALL),
+xp AS (SELECT qid, chunk_id, greatest(coalesce(score, 0), coalesce(near, 0)) AS score, lexical_rank, dense_rank, coalesce(seq, by_) AS seq, coalesce(near > coalesce(score, 0), false) AS promoted FROM fs FULL JOIN ne USING (qid, chunk_id)),
+po AS MATERIALIZED (SELECT xp.*, coalesce(cs.cosine, 0) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seq, chunk_id) - 1 AS place FROM xp) xp LEFT JOIN cs ON cs.qid = xp.qid AND cs.chunk_id = xp.chunk_id WHERE place < 24),
+li AS MATERIALIZED (SELECT a.qid, a.place AS i, b.place AS j, sum(x.w * y.w) AS c FROM po a JOIN po b ON a.qid = b.qid JOIN ce x ON x.k = a.chunk_id JOIN ce y ON y.k = b.chunk_id AND y.b = x.b GROUP BY ALL), """
+    + picks("po", "li", 6, 0.35)
+    + " SELECT po.qid, position::BIGINT AS position, po.chunk_id, round(score, 8) AS score, lexical_rank, dense_rank FROM c6 JOIN po ON po.qid = c6.qid AND po.place = c6.place"
+)
+def hybrid_search(spark, sf):
+    found = R.search(turns(spark, sf), asked(spark, sf), R.embedder("ngram-md5"))
+    return found.select("qid", F.col("position").cast("long").alias("position"), "chunk_id", F.round("score", 8).alias("score"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("dense_rank").cast("long").alias("dense_rank"))
+
+
 def retrieved(spark, sf) -> DataFrame:
     """Turns of a conversation as what its question retrieved."""
     return turns(spark, sf).select(F.col("doc_id").alias("qid"), F.col("ordinal").cast("int").alias("position"), "chunk_id", "text")
 
 
 PLAN = """WITH t AS (SELECT conv_id AS qid, turn, concat(conv_id, '#', turn) AS c, text FROM conversations), ids AS (SELECT qid, list(c ORDER BY turn) AS ids FROM t GROUP BY qid),
-p AS (SELECT qid, 0 AS o, 'closed' AS run_id, 'closed' AS kind, ids AS removed FROM ids UNION ALL SELECT qid, 1, 'control-1', 'control', [] FROM ids WHERE len(ids) > 1
+p AS (SELECT qid, 0 AS o, 'closed' AS run_id, 'closed' AS kind, ids AS removed FROM ids UNION ALL SELECT qid, 1, 'control-0', 'control', [] FROM ids WHERE len(ids) > 1
 UNION ALL SELECT qid, 2 + row_number() OVER (PARTITION BY qid ORDER BY turn), concat('loo-', c), 'loo', [c] FROM t),
-plan AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) - 1 AS run_seq, run_id, kind, removed, count(*) OVER (PARTITION BY qid) > {b} AS truncated FROM p)"""
+plan AS MATERIALIZED (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) - 1 AS run_seq, run_id, kind, removed, count(*) OVER (PARTITION BY qid) > {b} AS truncated FROM p)"""
 
 
 @registered(PLAN.format(b=27) + " SELECT qid, run_seq, run_id, kind, array_to_string(removed, ',') AS removed, truncated FROM plan WHERE run_seq < 27")
@@ -343,7 +370,7 @@ def report_summary(spark, sf):
 
 
 RANKED = f"rk AS (SELECT qid, claim_idx, c, row_number() OVER (PARTITION BY qid, claim_idx ORDER BY {FRACTION.format('concat_ws(chr(47), qid, claim_idx, c)')} DESC, c) - 1 AS r FROM t, (VALUES (0), (1), (2)) c(claim_idx))"
-COALITIONS = PLAN.format(b=27) + f", {RANKED}, tr AS (SELECT qid, claim_idx, max(c) FILTER (r = 0) AS a, max(c) FILTER (r = 1) AS b, max(c) FILTER (r = 2) AS d FROM rk WHERE r < 3 GROUP BY ALL), gs AS (SELECT qid, claim_idx, 0 AS j, list_sort([a, b]) AS g FROM tr WHERE b IS NOT NULL UNION ALL SELECT qid, claim_idx, 1, list_sort([a, d]) FROM tr WHERE d IS NOT NULL UNION ALL SELECT qid, claim_idx, 2, list_sort([b, d]) FROM tr WHERE d IS NOT NULL UNION ALL SELECT qid, claim_idx, 3, list_sort([a, b, d]) FROM tr WHERE d IS NOT NULL), gd AS (SELECT qid, g, min(claim_idx * 10 + j) AS seen FROM gs GROUP BY ALL), cp AS (SELECT qid, g, row_number() OVER (PARTITION BY qid ORDER BY len(g), seen) AS i FROM gd)"
+COALITIONS = PLAN.format(b=27) + f", {RANKED}, tr AS (SELECT qid, claim_idx, max(c) FILTER (r = 0) AS a, max(c) FILTER (r = 1) AS b, max(c) FILTER (r = 2) AS d FROM rk WHERE r < 3 GROUP BY ALL), gs AS (SELECT qid, claim_idx, 0 AS j, list_sort([a, b]) AS g FROM tr WHERE b IS NOT NULL UNION ALL SELECT qid, claim_idx, 1, list_sort([a, d]) FROM tr WHERE d IS NOT NULL UNION ALL SELECT qid, claim_idx, 2, list_sort([b, d]) FROM tr WHERE d IS NOT NULL UNION ALL SELECT qid, claim_idx, 3, list_sort([a, b, d]) FROM tr WHERE d IS NOT NULL), gd AS (SELECT qid, g, min(claim_idx * 10 + j) AS seen FROM gs GROUP BY ALL), cp AS (SELECT qid, g, row_number() OVER (PARTITION BY qid ORDER BY len(g), seen) - 1 AS i FROM gd)"
 
 
 def coalition_runs(spark, sf) -> DataFrame:
@@ -380,24 +407,161 @@ def threshold_sweep(spark, sf):
     return X.threshold_sweep(l.select((F.col("quality") == 1).alias("expected"), (fraction(F.col("doc_id").cast("string")) * 0.4 * (0.5 + F.col("quality"))).alias("score")))
 
 
-@registered(SCORED + " SELECT DISTINCT qid, qid % 3 <> 0 AND EXISTS (SELECT 1 FROM vd v WHERE v.qid = vd.qid AND verdict = 'grounded') AS passed FROM vd")
+#: Sentences that scripted answers and labels consist of.
+FALLBACK, NEVER = "I do not know.", "Nothing of this was ever said."
+TRIGGERS = ", ".join(f"CASE WHEN contains(prompt, '{t}') THEN '{s}' END" for _, t, s in RULES)
+STRIPPED = r"regexp_replace(regexp_replace(t.text, '^\s+', ''), '\s+$', '')"
+
+
+def answered(src: str, out: str) -> str:
+    """SQL of the answers' sentences to the runs of src (qid, run_seq, run_id, kind, removed)."""
+    return f"""{out}v AS (SELECT r.*, CASE WHEN kind = 'control' THEN list_concat(list_slice(ids, len(ids) // 2 + 1, len(ids)), list_slice(ids, 1, len(ids) // 2)) ELSE list_filter(ids, lambda c: NOT list_contains(removed, c)) END AS shown FROM {src} r JOIN ids USING (qid)),
+{out}x AS (SELECT qid, run_id, s, i FROM {out}v, unnest(shown) WITH ORDINALITY AS u(s, i)),
+{out}t AS (SELECT x.qid, x.run_id, string_agg(concat('[', i, '] ', {STRIPPED}, chr(10), chr(10)), '' ORDER BY i) AS txt FROM {out}x x JOIN t ON t.c = x.s GROUP BY ALL),
+{out}p AS (SELECT v.*, CASE WHEN len(shown) = 0 THEN concat('What of ', v.qid, '?') ELSE concat('Excerpts:', chr(10), chr(10), txt, 'Question: What of ', v.qid, '?') END AS prompt FROM {out}v v LEFT JOIN {out}t x ON x.qid = v.qid AND x.run_id = v.run_id),
+{out} AS MATERIALIZED (SELECT qid, run_seq, run_id, kind, removed, CASE WHEN len(l) = 0 THEN ['{FALLBACK}'] ELSE l END AS sents FROM (SELECT *, list_filter([{TRIGGERS}], lambda s: s IS NOT NULL) AS l FROM {out}p))"""
+
+
+def survived(claims: str, runs: str, out: str) -> str:
+    return f"{out} AS MATERIALIZED (SELECT c.qid, c.claim_idx, c.checkable, a.run_id, a.kind, a.run_seq, a.removed, least(1, greatest(0, coalesce(max(ss.c), 0))) AS s FROM {claims} c JOIN (SELECT *, unnest(sents) AS said FROM {runs} WHERE kind <> 'full') a ON a.qid = c.qid LEFT JOIN ss ON ss.a = c.s AND ss.b = a.said GROUP BY ALL)"
+
+
+def likeness(a: str, b: str) -> str:
+    """SQL of the largest cosine in both sizes of vectors."""
+    each = " UNION ALL ".join(f"SELECT x.k AS a, y.k AS b, sum(x.w * y.w) AS c FROM {a}{i} x JOIN {b}{i} y ON x.b = y.b GROUP BY ALL" for i in (1, 2))
+    return f"(SELECT a, b, max(c) AS c FROM ({each}) GROUP BY ALL)"
+
+
+SENTENCES = ", ".join(f"('{s}')" for s in (*(s for _, _, s in RULES), FALLBACK, NEVER))
+JUDGED = "nm AS " + SCORED.split("nm AS ", 1)[1]
+ASKED = (
+    PLAN.format(b=27)
+    + ", pl AS (SELECT qid, run_seq, run_id, kind, removed FROM plan WHERE run_seq < 27 UNION ALL SELECT qid, -1, 'full', 'full', [] FROM ids), "
+    + answered("pl", "a0")
+    + f", st(text) AS (VALUES {SENTENCES}), "
+    + ", ".join(embedded(f"{n}{i}", k, t, d) for i, d in ((1, 512), (2, 1024)) for n, k, t in (("s", "text", "st"), ("w", "c", "t")))
+    + f", ss AS MATERIALIZED {likeness('s', 's')}, cl AS (SELECT qid, i - 1 AS claim_idx, s, s <> '{FALLBACK}' AS checkable FROM a0, unnest(sents) WITH ORDINALITY AS u(s, i) WHERE kind = 'full'), "
+    + survived("cl", "a0", "sv")
+    + ", sr AS (SELECT qid, claim_idx, checkable, kind, run_seq, removed[1] AS chunk_id, s FROM sv), "
+    + JUDGED
+)
+JOINED = (
+    ASKED
+    + f", un AS (SELECT vd.qid, vd.claim_idx, cl.s FROM vd JOIN cl USING (qid, claim_idx) WHERE verdict = 'undetermined'), lk AS MATERIALIZED {likeness('s', 'w')}, rk AS (SELECT un.qid, un.claim_idx, t.c, row_number() OVER (PARTITION BY un.qid, un.claim_idx ORDER BY round(coalesce(lk.c, 0), 9) DESC, t.turn) - 1 AS r FROM un JOIN t ON t.qid = un.qid LEFT JOIN lk ON lk.a = un.s AND lk.b = t.c), tr AS "
+    + COALITIONS.split(", tr AS ", 1)[1]
+    + ", ud AS (SELECT qid, count(*) AS used, bool_or(truncated) AS cut FROM plan WHERE run_seq < 27 GROUP BY qid), co AS (SELECT cp.qid, used + i AS run_seq, concat('coalition-', i) AS run_id, 'coalition' AS kind, g AS removed FROM cp JOIN ud USING (qid) WHERE i < 27 - used), "
+    + answered("co", "a1")
+    + ", "
+    + survived("cl", "a1", "js")
+    + ", bs AS (SELECT qid, claim_idx, max(effect) AS effect, arg_max(g, (effect, -run_seq)) AS g FROM (SELECT js.qid, js.claim_idx, js.removed AS g, js.run_seq, greatest(0, 1 - js.s - vd.noise) AS effect FROM js JOIN vd USING (qid, claim_idx) WHERE verdict = 'undetermined') GROUP BY ALL HAVING max(effect) >= 0.12), "
+    + "en AS (SELECT ud.qid, cut OR coalesce(bool_or(cp.i >= 27 - used), false) AS truncated FROM ud LEFT JOIN cp ON cp.qid = ud.qid GROUP BY ud.qid, cut), "
+    + "fv AS (SELECT vd.qid, vd.claim_idx, cl.s AS text, noise, memory, CASE WHEN bs.effect IS NOT NULL THEN 'grounded' WHEN verdict = 'undetermined' AND NOT truncated THEN 'unsupported' ELSE verdict END AS verdict, CASE WHEN bs.effect IS NOT NULL THEN list_sort(bs.g) WHEN verdict = 'grounded' THEN (SELECT list_sort(list(chunk_id)) FROM ef WHERE ef.qid = vd.qid AND ef.claim_idx = vd.claim_idx AND effect >= greatest(0.12, 0.6 * best)) ELSE [] END AS credited FROM vd JOIN cl ON cl.qid = vd.qid AND cl.claim_idx = vd.claim_idx JOIN en ON en.qid = vd.qid LEFT JOIN bs ON bs.qid = vd.qid AND bs.claim_idx = vd.claim_idx)"
+)
+_ANALYSES: dict = {}
+MODEL = "claude-haiku-4-5"
+
+
+def embedders() -> list:
+    return [R.embedder("ngram-md5", 512), R.embedder("ngram-md5", 1024)]
+
+
+def scripted(spark):
+    rules = spark.createDataFrame(RULES, "rule_ord int, trigger string, sentence string")
+    return lambda rows: X.scripted(rows, rules, FALLBACK)
+
+
+def analysis(spark, sf) -> A.Analysis:
+    """Every conversation is a question whose turns it has retrieved; one analysis for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ANALYSES:
+        r = retrieved(spark, sf)
+        q = r.select("qid").distinct().withColumn("question", F.concat(F.lit("What of "), F.col("qid").cast("string"), F.lit("?")))
+        _ANALYSES[key] = A.ask(q, r, scripted(spark), embedders(), model=MODEL)
+    return _ANALYSES[key]
+
+
+def places(spark, sf) -> DataFrame:
+    """Each turn is a document of its own, named like its chunk."""
+    return retrieved(spark, sf).select("chunk_id", F.col("chunk_id").alias("doc_id"), "text")
+
+
+@registered(JOINED + " SELECT qid, claim_idx::BIGINT AS claim_idx, text, verdict, round(noise, 6) AS noise, round(memory, 6) AS memory, array_to_string(credited, ',') AS credited FROM fv")
+def ask_verdicts(spark, sf):
+    c = analysis(spark, sf).claims
+    credited = F.array_join(F.array_sort(F.transform(F.filter("support", lambda s: s["credited"]), lambda s: s["chunk_id"])), ",")
+    return c.select("qid", F.col("claim_idx").cast("long").alias("claim_idx"), "text", "verdict", F.round("noise", 6).alias("noise"), F.round("memory", 6).alias("memory"), credited.alias("credited"))
+
+
+@registered(JOINED + ", ar AS (SELECT qid, run_seq, run_id, removed, sents FROM a0 UNION ALL SELECT qid, run_seq, run_id, removed, sents FROM a1) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY starts_with(run_id, 'coalition'), run_seq) - 1 AS run_seq, run_id, array_to_string(removed, ',') AS removed, array_to_string(sents, ' ') AS answer FROM ar")
+def ask_runs(spark, sf):
+    r = analysis(spark, sf).runs
+    return r.select("qid", F.col("run_seq").cast("long").alias("run_seq"), "run_id", F.array_join("removed", ",").alias("removed"), "answer")
+
+
+ALL_RUNS = ", ar AS (SELECT qid, run_id, kind, length(prompt) // 4 AS i FROM a0p UNION ALL SELECT qid, run_id, kind, length(prompt) // 4 FROM a1p)"
+
+
+@registered(JOINED + ALL_RUNS + ", us AS (SELECT qid, count(*) AS runs, sum(i)::BIGINT AS input_tokens, count(*) * 40 AS output_tokens FROM ar GROUP BY qid) SELECT us.qid, coalesce(count_if(verdict = 'grounded'), 0)::BIGINT AS grounded, count_if(verdict <> 'no_claim')::BIGINT AS checkable, bool_or(verdict = 'grounded') AS corpus_contributed, runs, input_tokens, output_tokens, round((input_tokens + output_tokens * 5) / 1e6, 6) AS cost_usd, truncated FROM us JOIN fv USING (qid) JOIN en USING (qid) GROUP BY us.qid, runs, input_tokens, output_tokens, truncated")
+def ask_summaries(spark, sf):
+    return report.summaries(analysis(spark, sf)).drop("cached")
+
+
+@registered(JOINED + ALL_RUNS + ", ev AS (SELECT qid, unnest([0, 1, 3, 5, 6, 7, 8]) AS o, unnest(['question', 'retrieved', 'answer', 'verdicts', 'done', 'report', 'complete']) AS type FROM ids UNION ALL SELECT qid, 4, 'run' FROM ar WHERE kind <> 'full') SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) - 1 AS seq, type FROM ev")
+def event_order(spark, sf):
+    a = analysis(spark, sf)
+    return E.log(a, report.reports(a)).select("qid", F.col("seq").cast("long").alias("seq"), "type")
+
+
+@registered(JOINED + ", pb AS (SELECT qid, ids[1] AS doc FROM ids) SELECT pb.qid, coalesce(list_contains(list_distinct(flatten(list(credited) FILTER (verdict = 'grounded'))), doc), false) AS passed FROM pb LEFT JOIN fv ON fv.qid = pb.qid GROUP BY pb.qid, doc")
 def attribution_suite(spark, sf):
-    v = X.first_pass(scored_runs(spark, sf), X.AblationPolicy())
-    probes = v.select("qid").distinct().withColumn("expected_doc", F.when(F.col("qid") % 3 == 0, "none").otherwise(F.col("qid").cast("string")))
-    return X.attribution(v, probes)
+    """Is the first turn among the documents that grounded claims credit?"""
+    r = retrieved(spark, sf)
+    probes = r.groupBy("qid").agg(F.min_by("chunk_id", "position").alias("expected_doc"))
+    return X.attribution(analysis(spark, sf).claims, probes, places(spark, sf)).select("qid", "passed")
 
 
-@registered(SCORED + f", o AS (SELECT qid, claim_idx, {FRACTION.format('concat_ws(chr(47), qid, claim_idx, chr(120))')} AS s FROM vd WHERE verdict = 'grounded') SELECT qid, claim_idx::BIGINT AS claim_idx, s < 0.85 AS passed FROM o")
+LABELS = f"lb AS (SELECT qid, bool_or(contains(text, 'que')) AS expected, '{RULES[2][2]}' AS s FROM t GROUP BY qid UNION ALL SELECT qid, false, '{NEVER}' FROM ids), ck AS (SELECT DISTINCT qid FROM fv WHERE verdict <> 'no_claim'), ll AS (SELECT lb.qid, row_number() OVER (PARTITION BY lb.qid ORDER BY s) - 1 AS claim_idx, s, expected, true AS checkable FROM lb JOIN ck USING (qid)), " + survived("ll", "a0", "lv") + ", " + re.sub(r"\b(nm|ef|vd|sr)\b", r"l\1", "sr AS (SELECT qid, claim_idx, checkable, kind, run_seq, removed[1] AS chunk_id, s FROM lv), " + JUDGED)
+
+
+def label_rows(spark, sf) -> DataFrame:
+    t = retrieved(spark, sf)
+    one = t.groupBy("qid").agg(F.bool_or(F.contains("text", F.lit("que"))).alias("expected")).withColumn("sentence", F.lit(RULES[2][2]))
+    return one.unionByName(t.select("qid").distinct().withColumn("expected", F.lit(False)).withColumn("sentence", F.lit(NEVER)))
+
+
+@registered(JOINED + ", " + LABELS + " SELECT lb.qid, lb.s AS sentence, lb.expected, coalesce(CASE WHEN verdict = 'undetermined' THEN 'unsupported' ELSE verdict END, 'skipped') AS verdict FROM lb LEFT JOIN ll ON ll.qid = lb.qid AND ll.s = lb.s LEFT JOIN lvd ON lvd.qid = ll.qid AND lvd.claim_idx = ll.claim_idx")
+def injection_suite(spark, sf):
+    rows = A.injection(analysis(spark, sf), label_rows(spark, sf), embedders())
+    return rows.select("qid", "sentence", "expected", F.coalesce("verdict", F.lit("skipped")).alias("verdict"))
+
+
+@registered(JOINED + ", " + LABELS + f", th(th) AS (VALUES (0.06), (0.09), (0.12), (0.15), (0.20), (0.25)), pr AS (SELECT th::DOUBLE AS threshold, expected AS e, checkable AND best >= th AS p FROM (SELECT lvd.*, ll.expected FROM lvd JOIN ll USING (qid, claim_idx)), th), ct AS (SELECT threshold, {RATES} FROM pr GROUP BY threshold), rt AS (SELECT threshold, tp, fp, fn, tn, {RATIOS} FROM ct) SELECT *, row_number() OVER (ORDER BY (fpr > 0.1)::INT, recall DESC, precision DESC, threshold) = 1 AS best FROM rt")
+def threshold_sweep_labels(spark, sf):
+    return A.sweep(analysis(spark, sf), label_rows(spark, sf), embedders())
+
+
+@registered(
+    JOINED
+    + ", cr AS (SELECT qid, claim_idx, text, credited, len(credited) >= (SELECT count(*) FROM t) AS whole FROM fv WHERE verdict = 'grounded'), va AS (SELECT DISTINCT qid, credited AS removed, 0 AS run_seq, array_to_string(credited, ',') AS run_id, 'again' AS kind FROM cr WHERE NOT whole), "
+    + answered("va", "a2")
+    + ", cs AS (SELECT cr.qid, cr.claim_idx, least(1, greatest(0, max(ss.c))) AS s FROM cr JOIN (SELECT *, unnest(sents) AS said FROM a2) a ON a.qid = cr.qid AND a.run_id = array_to_string(cr.credited, ',') LEFT JOIN ss ON ss.a = cr.text AND ss.b = a.said GROUP BY ALL) SELECT cr.qid, cr.claim_idx::BIGINT AS claim_idx, array_to_string(credited, ',') AS removed_docs, round(coalesce(cs.s, 0), 5) AS survival, coalesce(cs.s, 0) < 0.85 AS passed FROM cr LEFT JOIN cs USING (qid, claim_idx)"
+)
 def counterfactual_suite(spark, sf):
-    v = X.variants(X.first_pass(scored_runs(spark, sf), X.AblationPolicy()))
-    rows = v.select("qid", F.explode("claims").alias("claim_idx"))
-    return X.counterfactual(rows.withColumn("survival", fraction("qid", "claim_idx", F.lit("x")))).select("qid", F.col("claim_idx").cast("long").alias("claim_idx"), "passed")
+    """Every grounded claim is asked again from the turns that are left without the credited ones."""
+    r = retrieved(spark, sf)
+
+    def search(questions: DataFrame, removed: DataFrame) -> DataFrame:
+        own = r.withColumnRenamed("qid", "conv").join(questions.withColumn("conv", F.substring_index("qid", "/", 1).cast("long")), "conv").select("qid", "position", "chunk_id", "text")
+        return own.join(removed.withColumnRenamed("doc_id", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+
+    out = A.without_credited(analysis(spark, sf), places(spark, sf), search, scripted(spark), embedders())
+    return out.select("qid", F.col("claim_idx").cast("long").alias("claim_idx"), F.array_join("removed_docs", ",").alias("removed_docs"), F.round("survival", 5).alias("survival"), "passed")
 
 
 FOLD = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 
 
-@registered(f"SELECT item_id, count(doc_id)::BIGINT AS n_docs, count(doc_id) = 1 AS is_unique FROM benchmark b LEFT JOIN documents d ON contains({FOLD.format('d.text')}, left({FOLD.format('b.text')}, 80)) GROUP BY item_id")
+@registered(f"SELECT item_id, count(doc_id)::BIGINT AS n_docs, count(doc_id) = 1 AS is_unique FROM benchmark b LEFT JOIN documents d ON contains({FOLD.format('d.text')}, {FOLD.format('b.text')}) GROUP BY item_id")
 def probe_uniqueness(spark, sf):
     """Phrases, whole, are the small side of a substring join, so documents are read once and never shuffled."""
     phrases = table(spark, sf, "benchmark").select("item_id", T.folded(F.col("text")).alias("phrase"))

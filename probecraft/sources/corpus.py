@@ -35,7 +35,8 @@ def _files(raw: DataFrame, root: str) -> DataFrame:
     rel = F.expr("path").substr(F.lit(len(root.rstrip("/")) + 2), F.length("path"))
     rows = raw.select(full.alias("path"), F.col("value").alias("text")).withColumn("rel", rel)
     name = F.regexp_replace("rel", r"\.[^./]*$", "")
-    return rows.select(name.alias("doc_id"), title(F.col("text"), F.regexp_extract(name, "[^/]*$", 0)).alias("title"), "text", F.create_map(F.lit("path"), F.col("path")).alias("meta"), F.xxhash64("rel").alias("doc_ord"))
+    # Ordinals ascend with the sorted names; partitions of the sort are ranges, so no task sees all of them.
+    return rows.sort(F.split("rel", "/")).select(name.alias("doc_id"), title(F.col("text"), F.regexp_extract(name, "[^/]*$", 0)).alias("title"), "text", F.create_map(F.lit("path"), F.col("path")).alias("meta"), F.monotonically_increasing_id().alias("doc_ord"))
 
 
 def _folder(spark: SparkSession, path: str) -> DataFrame:
@@ -48,8 +49,15 @@ def _folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Line numbers come from one file's offsets; the first line that isn't a document raises with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).select((F.col("i") + 1).alias("n"), "line").filter(strip(F.col("line")) != "")
+    """Lines are read in splits and numbered by the counts of the splits before; the first that isn't a document raises with its number."""
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("i"), F.col("_metadata.file_block_start").alias("at"))
+    sizes = raw.groupBy("part").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("at")).collect()  # a row for each split
+    first, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["at"]):
+        first.append((r["part"], total))
+        total += r["lines"]
+    offsets = spark.createDataFrame(first or [(0, 0)], "part int, before long")
+    lines = raw.join(F.broadcast(offsets), "part").select((F.col("i") + F.col("before") + 1).alias("n"), "line").filter(strip(F.col("line")) != "")
     kind = "doc_id string, id string, title string, text string, meta map<string,string>, _bad string"
     rows = lines.withColumn("j", F.from_json("line", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("keys", F.json_object_keys("line"))
     bad = rows.filter(F.col("j._bad").isNotNull() | F.col("keys").isNull() | F.col("j.text").isNull()).orderBy("n").limit(1).collect()
@@ -61,7 +69,7 @@ def _jsonl(spark: SparkSession, path: str) -> DataFrame:
     number = F.col("n").cast("string")
     name = F.when(has("doc_id"), F.col("j.doc_id")).when(has("id"), F.col("j.id")).otherwise(number)
     meta = F.map_concat(F.coalesce("j.meta", F.create_map().cast("map<string,string>")), F.create_map(F.lit("source"), F.lit(path), F.lit("line"), number))
-    return rows.select(name.alias("doc_id"), F.coalesce("j.title", F.concat(F.lit("document "), number)).alias("title"), F.col("j.text").alias("text"), meta.alias("meta"), F.col("n").cast("long").alias("doc_ord"))
+    return rows.select(name.alias("doc_id"), F.coalesce(F.nullif(F.col("j.title"), F.lit("")), F.concat(F.lit("document "), number)).alias("title"), F.col("j.text").alias("text"), meta.alias("meta"), F.col("n").cast("long").alias("doc_ord"))
 
 
 def location(meta: Column, name: Column) -> Column:
@@ -73,14 +81,20 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(location(F.col("meta"), F.col("title")))).alias("places")).filter("n > 1")
 
 
+#: Problems that one error lists of each kind.
+REPORTED = 20
+
+
 def validate_documents(docs: DataFrame) -> DataFrame:
     """docs, if every id is a non-blank string without outer space and unique; else raises before any costly work."""
-    bad = docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") == "") | (strip(F.col("doc_id")) != F.col("doc_id"))).limit(1).collect()
-    if bad:
-        raise CorpusError(f"invalid document id {bad[0]['doc_id']!r}")
-    twice = duplicate_ids(docs).orderBy("doc_id").limit(20).collect()
-    if twice:
-        raise CorpusError("; ".join(f"duplicate id {r['doc_id']}: {', '.join(r['places'])}" for r in twice))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind != "string":
+        raise CorpusError(f"document ids are strings, not {kind}")
+    bad = docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") == "") | (strip(F.col("doc_id")) != F.col("doc_id")))
+    said = [f"invalid id {r[0]!r}: {r[1]}" for r in bad.select("doc_id", location(F.col("meta"), F.col("title"))).limit(REPORTED).collect()]
+    said += [f"duplicate id {r['doc_id']}: {', '.join(r['places'])}" for r in duplicate_ids(docs).orderBy("doc_id").limit(REPORTED).collect()]
+    if said:
+        raise CorpusError("; ".join(said))
     if docs.isEmpty():
         raise CorpusError("the corpus is empty")
     return docs
@@ -90,19 +104,51 @@ def validate_chunks(chunks: DataFrame) -> DataFrame:
     twice = chunks.groupBy("chunk_id").count().filter("count > 1").limit(1).collect()
     if twice:
         raise CorpusError(f"duplicate chunk id {twice[0]['chunk_id']}")
+    if chunks.isEmpty():
+        raise CorpusError("the corpus has no chunks")
     return chunks
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def beside(spark: SparkSession, corpus: str, name: str) -> str:
+    """The path of a sidecar: in a corpus folder, or in the folder of a corpus file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(corpus)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = target if fs.exists(target) and fs.getFileStatus(target).isDirectory() else target.getParent()
+    return f"{folder.toString()}/{name}"
+
+
 def sidecar_lines(spark: SparkSession, path: str) -> DataFrame:
-    """questions.txt: stripped lines that aren't blank and don't start with #."""
-    return spark.read.text(path).select(strip(F.col("value")).alias("question")).filter("question <> '' and not startswith(question, '#')")
+    """questions.txt: stripped lines that aren't blank and don't start with #; a missing file raises."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.text(path).filter("not startswith(value, '#')").select(strip(F.col("value")).alias("question")).filter("question <> ''")
 
 
 def sidecar_json(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """Records of one field of a JSON file (probes or labels)."""
+    """Records of one field of a JSON file (probes or labels); a missing file has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(f"{field} array<struct<{schema}>>").json(path, multiLine=True).select(F.explode(field).alias("r")).select("r.*")
 
 
+def describe(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, title, characters of the documents, and how many chunks there are."""
+    return docs.select("doc_id", "title", F.char_length("text").alias("characters")), chunks.count()
+
+
+def fetch(docs: DataFrame, doc_id: str) -> dict:
+    """One document whole; an id that isn't there raises."""
+    found = docs.filter(F.col("doc_id") == doc_id).select("doc_id", "title", "text").limit(1).collect()
+    if not found:
+        raise LookupError(f"no document {doc_id!r}")
+    return found[0].asDict()
+
+
 def read_vectors(spark: SparkSession, path: str, model: str, dims: int) -> DataFrame:
     """Cached vectors of one model and size; others are ignored."""
     return spark.read.parquet(path).filter((F.col("model") == model) & (F.col("dims") == dims)).select("text_key", "vec")
@@ -116,14 +162,6 @@ def write_corpus(docs: DataFrame, path: str) -> None:
     docs.select(F.to_json(F.struct("doc_id", "title", "text")).alias("value")).write.text(path)
 
 
-def report_json(claims: DataFrame) -> DataFrame:
-    """qid, report: claims as JSON with effects, noise and memory at four places."""
-    four = lambda c: F.round(c, 4)
-    support = F.transform("support", lambda s: F.struct(s["chunk_id"].alias("chunk_id"), four(s["effect"]).alias("effect"), four(s["raw_drop"]).alias("raw_drop"), s["credited"].alias("credited"), s["joint"].alias("joint")))
-    row = F.struct(F.col("claim_idx").alias("index"), "verdict", four(F.col("noise")).alias("noise_floor"), four(F.col("memory")).alias("memory"), support.alias("support"))
-    return claims.groupBy("qid").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("report"))
-
-
 def write_json(value: dict, path: str) -> None:
     """A small driver-side report or manifest."""
     with open(path, "w", encoding="utf-8") as f:
