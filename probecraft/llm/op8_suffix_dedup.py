@@ -12,9 +12,9 @@ Exact copies are found by digest first: all but the smallest doc_id of a text lo
 least ``size`` bytes), and only one text of each kind is searched. Texts are read from one table bucketed
 by document, so spans return to them without a second shuffle of texts.
 
-Fixed behaviour: a null text is empty; a null doc_id is no smaller document and loses nothing; repeated rows
+Fixed behaviour: a null text is empty; a row without doc_id is no smaller document and loses nothing; repeated rows
 of one doc_id don't remove each other; texts shorter than a window are kept; empty tables give empty results;
-further columns are kept by ``deduplicate`` and ignored by the query.
+further columns, whatever their names, are kept by ``deduplicate`` and ignored by the query.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import DEALT, Dealer, Scratch, gathered, mix, partitions
+from .common import DEALT, Dealer, Scratch, file_bytes, gathered, mix, partitions, shared_dir, spread_join
 
 SIZE, GRAM = 50, 20
 #: Bytes looked at together.
@@ -216,8 +217,8 @@ def union(spans: np.ndarray) -> np.ndarray:
 
 def find_spans(spark: SparkSession, scratch: Scratch, table: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, th and spans (packed [start, end) pairs) of the texts of table (doc_id, th, text) that lose bytes."""
-    n = partitions(spark)
-    shards = SHARDS * n
+    n = partitions(spark, table, 64)
+    shards = max(SHARDS * n, -(-file_bytes(table) // (4 << 20)))
 
     def label_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(n)
@@ -341,31 +342,26 @@ def deal_contexts(held: list, shards: int) -> Iterator[pa.RecordBatch]:
 def deduplicate(spark: SparkSession, docs: DataFrame, digest: bool = False, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """docs with each text's repeated bytes removed (broken UTF-8 at a seam is dropped), or the digest columns."""
     scratch = Scratch(spark)
-    n = partitions(spark)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("text", text).withColumn("th", F.xxhash64("text"))
+    n = partitions(spark, docs, 64)
+    given = [] if digest else [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Further columns lie in one struct, so that no name of theirs meets one of ours.
+    rest = F.struct(*(docs[c] for c in given)) if given else F.lit(None).cast("struct<none: int>")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")).withColumn("th", F.xxhash64("text"))
     name = f"probecraft_{uuid.uuid4().hex}"
-    if digest:
-        keyed = keyed.select("doc_id", "text", "th")
-    keyed.repartition(n, "doc_id", "th").write.option("compression", "zstd").bucketBy(n, "doc_id", "th").saveAsTable(name)
+    keyed.repartition(n, "doc_id", "th").write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/probecraft/{name}").bucketBy(n, "doc_id", "th").saveAsTable(name)
     table = spark.table(name)
-    small = table.select("doc_id", "th", F.sha2("text", 256).alias("sha"))
-    small = scratch.write(small)
-    firsts = small.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    marks = small.join(firsts, "sha", "left").select("doc_id", "th", (F.col("doc_id") > F.col("first")).alias("copy")).filter("doc_id is not null").distinct()
-    marks = scratch.write(marks)
+    small = scratch.write(table.select("doc_id", "th", F.sha2("text", 256).alias("sha")).filter("doc_id is not null").distinct())
+    firsts = small.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held"))
+    marks = scratch.write(spread_join(small, firsts, "sha", "held").select("doc_id", "th", (F.col("doc_id") > F.col("first")).alias("copy")))
     first_texts = table.join(marks.filter("not copy"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).filter(F.octet_length("text") >= size)
     spans = find_spans(spark, scratch, first_texts.select("doc_id", "th", "text"), size, gram)
     notes = marks.join(spans, ["doc_id", "th"], "left").filter("copy or spans is not null")
-    joined = table.join(notes, ["doc_id", "th"], "left")
-    columns = docs.columns
-    order = ["copy", "spans", *(["doc_id", "text"] if digest else columns)]
-    at = order.index("text", 2)
+    joined = table.join(notes, ["doc_id", "th"], "left").select("copy", "spans", "doc_id", "text", "rest")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
-            for copy, spans, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(at).to_pylist(), strict=True):
+            for copy, spans, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if copy:
                     cut = np.array([[0, len(data)]] if len(data) >= size else [], np.int64).reshape(-1, 2)
@@ -381,10 +377,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, digest: bool = False, size
                 new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([b.column(2), *new], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()) if c == "text" else b.column(2 + i) for i, c in enumerate(columns)], names=columns)
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(rows, pa.string()), b.column(4)], names=["doc_id", "text", "rest"])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
-    return joined.select(*order).mapInArrow(run, schema)
+    if digest:
+        return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = StructType([StructField(c, joined.schema[c].dataType) for c in ("doc_id", "text", "rest")])
+    out = joined.mapInArrow(run, schema)
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
