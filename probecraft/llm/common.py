@@ -173,6 +173,17 @@ def batches(rows: dict[str, tuple[pa.DataType, list | np.ndarray]]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in rows.values()], names=list(rows))
 
 
+def spread_join(rows: DataFrame, named: DataFrame, key: str, held: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """Join of rows with named, which has one row for each key, or some; its column held counts the key's rows.
+
+    Keys with more than one in ``most`` of the rows, which are at most that many, are broadcast; the others are joined by a shuffle.
+    """
+    floor = named.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0] // most
+    hot = F.broadcast(named.filter(F.col(held) > max(floor, 100)))
+    cold = named.filter(F.col(held) <= max(floor, 100))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, label) for every id in the edges (a, b): label is the smallest id reachable.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Dealer, Scratch, components, file_bytes, gathered, loads, mix, partitions, settled, windows, word_sequences
+from .common import Dealer, Scratch, components, file_bytes, gathered, loads, mix, partitions, settled, spread_join, windows, word_sequences
 
 #: Words of a shingle; 100 * intersection >= PERCENT * union links.
 WORDS, PERCENT = 5, 75
@@ -547,10 +547,10 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # One row for each class of several documents or with links; all joins before the last are of such rows.
     each = documents.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     each = each.join(linked_classes, "cls", "left").filter("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "cls"))
-    each = scratch.write(each.select("cls", "least", "component"))
+    each = scratch.write(each.select("cls", "rows", "least", "component"))
     least = each.groupBy("component").agg(F.min("least").alias("smallest"))
-    named = each.join(least, "component").select("cls", "smallest")
-    out = documents.join(named, "cls", "left")
+    named = scratch.write(each.join(least, "component").select("cls", "rows", "smallest"))
+    out = spread_join(documents, named, "cls", "rows", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
 
 
