@@ -11,19 +11,22 @@ encoded alike; very long texts are encoded whole; further columns are kept by ``
 
 from __future__ import annotations
 
+import atexit
 import functools
 import gc
 import hashlib
 import json
 import mmap
 import os
+import re
+import shutil
 import struct
 import tempfile
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Words in the lexicon, and words remembered by a task before it starts afresh.
-LEXICON_WORDS, MEMO_WORDS = 100_000, 300_000
+from .common import Scratch
+
+#: Words in the lexicon, and words that a task remembers in each of two generations.
+LEXICON_WORDS, MEMO_WORDS = 100_000, 200_000
 #: Ids of a batch, beyond which their strings are joined without Arrow.
 ARROW_IDS = 20_000_000
 #: The word pattern of the vocabulary file.
@@ -58,11 +63,27 @@ def byte_letters() -> list[str]:
     return out
 
 
+def ranges(points: Iterable[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class Vocabulary:
-    """Word BPE with an end-of-word suffix, read from a tokenizer file."""
+    """Word BPE with an end-of-word suffix, read from a tokenizer file.
 
-    def __init__(self, path: str):
+    Texts with letters that Python's Unicode tables lack or treat differently (``odd``, a character class found by asking the
+    tokenizers library about every code point) are put in normal form and cut into words by that library.
+    """
+
+    def __init__(self, path: str, odd: str | None = None):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
@@ -74,8 +95,40 @@ class Vocabulary:
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.letters = byte_letters()
         self.find = regex.compile(WORD).findall
+        library = Tokenizer.from_file(path)
+        self.library_normal, self.library_split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.bytes_of = {c: b for b, c in enumerate(self.letters)}
+        self.odd = self.odd_letters() if odd is None else odd
+        self.odd_at, self.maybe_odd = re.compile(f"[{self.odd}]").search, re.compile("[\u0378-\U0010ffff]").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def odd_letters(self) -> str:
+        """Code points that Python has not assigned, or that the library puts in another normal form or cuts otherwise.
+
+        Normal forms of sequences of assigned code points are the same in all versions of Unicode.
+        """
+        known = [c for c in map(chr, chain(range(2, 0xD800), range(0xE000, 0x110000))) if unicodedata.category(c) not in ("Cn", "Co")]
+        forms = self.library_normal("\x01".join(known)).split("\x01")
+        space = re.compile(r"\s")
+        odd = {c for c, f in zip(known, forms, strict=True) if self.normal(c) != f and not (f == " " and space.match(c))}
+        same = [c for c in known if c not in odd]
+        # Between two letters a letter joins, a digit stands alone, a space cuts.
+        ours = iter(self.find("\n".join(f"a{self.normal(c)}a" for c in same)))
+        theirs = self.library_split("\n".join(f"a{self.normal(c)}a" for c in same))
+        pieces = iter([self.plain(t) for t, _ in theirs])
+        if any(a != b for a, b in zip_longest(ours, pieces)):
+            split = lambda c: [self.plain(t) for t, _ in self.library_split(f"a{self.normal(c)}a")]
+            odd |= {c for c in same if self.find(f"a{self.normal(c)}a") != split(c)}
+        lacking = (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+        return ranges(sorted({*lacking, *map(ord, odd)}))
+
+    def plain(self, piece: str) -> str:
+        """The word of a piece in stand-ins for bytes."""
+        return bytes(map(self.bytes_of.__getitem__, piece)).decode()
+
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and self.maybe_odd(text) is not None and self.odd_at(text) is not None
+
     def normal(self, text: str) -> str:
         """NFC and lower case, letter by letter."""
         if text.isascii():
@@ -85,11 +138,13 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
+        if self.is_odd(text):
+            return [self.plain(t) for t, _ in self.library_split(self.library_normal(text))]
         return self.find(self.normal(text))
 
     def spaced(self, text: str) -> str | None:
-        """The normal text, whose runs between spaces share no word; None if it has special tokens."""
-        return None if "<|" in text else self.normal(text).replace("\n", " ")
+        """The normal text, whose runs between spaces share no word; None if it has special tokens or odd letters."""
+        return None if "<|" in text or self.is_odd(text) else self.normal(text).replace("\n", " ")
 
     def words(self, run: str) -> list[str]:
         """Words of a run."""
@@ -316,8 +371,8 @@ class Merger:
 
 
 @functools.cache
-def vocabulary_of(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary_of(path: str, odd: str | None = None) -> Vocabulary:
+    return Vocabulary(path, odd)
 
 
 def chunks(texts: pa.Array, limit: int = 1 << 22) -> Iterator[list[str | None]]:
@@ -341,11 +396,14 @@ def indexed_runs(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[list[
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), runs.offsets.to_numpy(), [i for i, s in enumerate(spaced) if s is None]
 
 
-def frequent_words(texts: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The words with the highest counts over all texts; ties go to the smaller word."""
+def frequent_words(texts: DataFrame, path: str, odd: str, scratch: Scratch, limit: int = LEXICON_WORDS) -> list[str]:
+    """The words with the highest counts over all texts: as many whole steps of counts as have no more than limit words.
+
+    A histogram of the counts finds the least count, so that only these words come to the driver.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, runs = vocabulary_of(path), Counter()
+        vocabulary, runs = vocabulary_of(path, odd), Counter()
 
         def flush() -> pa.RecordBatch:
             counts: Counter = Counter()
@@ -357,57 +415,85 @@ def frequent_words(texts: DataFrame, path: str, limit: int = LEXICON_WORDS) -> l
 
         for b in it:
             for texts in chunks(b.column(0)):
-                distinct, place, _, odd = indexed_runs(vocabulary, texts)
+                distinct, place, _, apart = indexed_runs(vocabulary, texts)
                 for r, n in zip(distinct, np.bincount(place, minlength=len(distinct)).tolist(), strict=True):
                     runs[r] += n
-                for i in odd:
+                for i in apart:
                     runs.update(vocabulary.split(texts[i]))
                 if len(runs) > MEMO_WORDS:
                     yield flush()
         yield flush()
 
-    counted = texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(limit).collect()]
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).alias("step")
+    counted = scratch.write(texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("step", step))
+    least, total = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["step"]
+    words = [] if least is None else [r["w"] for r in counted.filter(F.col("step") >= least).select("w").collect()]
+    scratch.drop(counted)
+    return words
 
 
 def compile_lexicon(spark: SparkSession, texts: DataFrame, merger: Merger, path: str, limit: int = LEXICON_WORDS) -> str:
     """Build the lexicon and hand it to every executor; returns its name for SparkFiles."""
-    words = frequent_words(texts, path, limit)
+    words = frequent_words(texts, path, merger.vocabulary.odd, Scratch(spark), limit)
     outputs = {w.encode(): ids for w, ids in zip(words, merger.many(words), strict=True)}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="probecraft-lexicon-")  # executors fetch it from the driver, also those that start later
+    folder = tempfile.mkdtemp(prefix="probecraft-lexicon-")
+    atexit.register(shutil.rmtree, folder, True)  # executors fetch it from the driver, also those that start later
     build_lexicon(sorted(outputs), outputs, f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 
+class Memory:
+    """What is known of keys; those not asked for since the last turn are forgotten at the next."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def lacking(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys that are not known; the others are known from here on until the next turn."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for k in dict.fromkeys(keys):
+            if k not in now:
+                v = before.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    now[k] = v
+        return out
+
+
 class Codec:
     """Encodes and decodes texts; runs between white space are remembered up to a bound."""
 
-    def __init__(self, path: str, lexicon: str | None = None, odd: Iterable[int] | None = None):
-        self.vocabulary = vocabulary_of(path)
+    def __init__(self, path: str, lexicon: str | None = None, odd: Iterable[int] | None = None, letters: str | None = None):
+        self.vocabulary = vocabulary_of(path, letters)
         self.merger = Merger(self.vocabulary, odd)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.words, self.runs = Memory(MEMO_WORDS), Memory(MEMO_WORDS)
         tokens = self.vocabulary.tokens
         self.numerals = pa.array([str(i) for i in range(max(tokens) + 1)])
         self.spellings = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
 
     def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of the distinct words: from the memory, the lexicon, or else merged."""
-        words = list(dict.fromkeys(words))
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
+        new = self.words.lacking(words)
+        known = self.words.now
         if self.lexicon and new:
             for w, ids in zip(new, self.lexicon.many([w.encode() for w in new]), strict=True):
                 if ids is not None:
-                    self.words[w] = ids
-            new = [w for w in new if w not in self.words]
+                    known[w] = ids
+            new = [w for w in new if w not in known]
         if new:
-            self.words.update(zip(new, self.merger.many(new), strict=True))
-        return self.words
+            known.update(zip(new, self.merger.many(new), strict=True))
+        return known
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         special = self.vocabulary.special
@@ -423,14 +509,12 @@ class Codec:
 
     def coded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the runs, one after another, and the first of each run (and the end)."""
-        if len(self.runs) > MEMO_WORDS:
-            self.runs.clear()
-        new = [r for r in runs if r not in self.runs]
+        new = self.runs.lacking(runs)
         split = [self.vocabulary.words(r) for r in new]
-        known = self.learn(chain.from_iterable(split))
+        known, runs_now = self.learn(chain.from_iterable(split)), self.runs.now
         for r, ws in zip(new, split, strict=True):
-            self.runs[r] = known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]
-        found = [self.runs[r] for r in runs]
+            runs_now[r] = known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]]
+        found = [runs_now[r] for r in runs]
         first = np.cumsum([0, *map(len, found)])
         return np.fromiter(chain.from_iterable(found), np.int64, first[-1]), first
 
@@ -473,25 +557,27 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     names = [x.split()[0] for x in new.split(", ")]
     docs = docs.drop(*names)
     merger = Merger(vocabulary_of(path))
-    name, odd = compile_lexicon(spark, docs, merger, path), merger.odd
+    name, odd, letters = compile_lexicon(spark, docs, merger, path), merger.odd, merger.vocabulary.odd
     at, columns = docs.columns.index("text"), docs.columns
     kept = columns if ids else [c for c in columns if c == "doc_id"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, SparkFiles.get(name), odd)
+        codec = Codec(path, SparkFiles.get(name), odd, letters)
         gc.disable()  # many small lists, none in a cycle
-        for b in it:
-            first = 0
-            for texts in chunks(b.column(at)):
-                if ids:
-                    flat, start = codec.many(texts)
-                    new = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(flat, pa.int32())), pa.array(codec.strings(flat, start)[1], pa.string())]
-                else:
-                    got = codec.digests(texts)
-                    new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(columns.index(c)).slice(first, len(texts)) for c in kept), *new], names=[*kept, *names])
-                first += len(texts)
-        gc.enable()
+        try:
+            for b in it:
+                first = 0
+                for texts in chunks(b.column(at)):
+                    if ids:
+                        flat, start = codec.many(texts)
+                        new = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(flat, pa.int32())), pa.array(codec.strings(flat, start)[1], pa.string())]
+                    else:
+                        got = codec.digests(texts)
+                        new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*(b.column(columns.index(c)).slice(first, len(texts)) for c in kept), *new], names=[*kept, *names])
+                    first += len(texts)
+        finally:
+            gc.enable()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(run, f"{schema}, {new}")
