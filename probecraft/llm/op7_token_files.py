@@ -20,8 +20,9 @@ tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,15 @@ def read_group(data: bytes, group: int) -> tuple[int, np.ndarray]:
     return int(first[group]), unpack(words)
 
 
+def check_merges(path: str) -> None:
+    """Raise unless the file merges pairs in the order of the ids they make, each id from one pair, which is how ranks merge."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in pairwise(made)):
+        raise ValueError(f"{path} does not merge in order of ids")
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizers library for the same file.
 
@@ -178,6 +188,7 @@ class Encoder:
         self.special = [t.content for t in added.values()]
         back = {c: b for b, c in enumerate(byte_letters())}
         ranks = {bytes(back[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if i not in added}
+        check_merges(path)
         self.merge = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> np.ndarray:
