@@ -10,10 +10,14 @@ goes to the driver (two rows for each partition), which fixes the states in whic
 Every turn gives its fragments of the rendered text; a conversation is their concatenation by ``pos``, so none
 is ever held whole. A start marker closes the turn before it.
 
+Costs are pairs: the cost itself, then the turns that are not kept as they are; among repairs equal in both, the one whose
+last state that differs is the smaller counts (system, user, assistant). A piece's matrix comes with the order of its
+best ways from each first state, so that the choice is the same however conversations lie in partitions.
+
 Fixed behaviour: turns order by turn number, nulls first, ties by role and text; null or unknown roles must be
-relabelled (at RELABEL each); null texts are empty; a null conv_id is a conversation of its own; markers within a
-text are broken up by a space; repeated rows are turns of their own; empty tables give empty results; ties of cost go to keeping, then
-relabelling, merging and inserting; extra columns are ignored.
+relabelled (at RELABEL each); null texts are empty; rows without conv_id are one conversation; markers within a
+text are broken up by a space; repeated rows are turns of their own; very long texts are whole; empty tables give empty results; ties of cost are
+settled as above; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,64 +31,57 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Scratch, partitions
 
 #: Costs of changes, in natural order; infinite where the automaton has no way.
-RELABEL, MERGE, INSERT = 2.0, 1.0, 3.0
+RELABEL, MERGE, INSERT = 2, 1, 3
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the turn before.
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-INF = float("inf")
+#: A cost as one integer: the cost times UNIT, and the turns not kept.
+UNIT, INF = 1 << 28, 1 << 60
 FRAGMENTS = "conv_id long, pos long, turn long, action string, role string, fragment string"
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
 def _moves() -> tuple[np.ndarray, dict]:
     """Cost of putting a turn of each role after each state, and the role inserted before it."""
-    cost, inserted = np.full((4, 4), INF), {}
+    cost, inserted = np.full((4, 4), INF, np.int64), {}
     for s in range(4):
         for q in (SYSTEM, USER, ASSISTANT):
             if q in NEXT[s]:
                 cost[s, q] = 0
             elif q == s:
-                cost[s, q] = MERGE
+                cost[s, q] = MERGE * UNIT + 1
             else:
                 for e in NEXT[s]:
                     if q in NEXT[e] and cost[s, q] == INF:
-                        cost[s, q], inserted[s, q] = INSERT, e
+                        cost[s, q], inserted[s, q] = INSERT * UNIT, e
     return cost, inserted
 
 
 MOVES, INSERTED = _moves()
 #: Inserted turns that complete a conversation from each state.
 CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
-CLOSE = np.array([INSERT * len(CLOSING[s]) for s in range(4)])
+CLOSE = [INSERT * UNIT * len(CLOSING[s]) for s in range(4)]
 
 
-def _matrix(role: int) -> np.ndarray:
-    """Cost from each state to each state over a turn of a role (0: unknown)."""
+def _matrix(role: int) -> list[list[int]]:
+    """Cost from each state to each state over a turn of a role (0: unknown); a merged turn counts once as not kept."""
     out = MOVES.copy()
     for q in (SYSTEM, USER, ASSISTANT):
-        out[:, q] += 0 if q == role else RELABEL
-    return out
+        if q != role:
+            out[:, q] += RELABEL * UNIT
+            out[[s for s in range(4) if s != q], q] += 1
+    return np.minimum(out, INF).tolist()
 
 
 MATRICES = [_matrix(r) for r in range(4)]
 
 
-def product(roles: list[int], start: np.ndarray | None = None) -> np.ndarray:
-    """The (min, +) product of the turns' matrices."""
-    acc = np.where(np.eye(4, dtype=bool), 0.0, INF) if start is None else start
-    for r in roles:
-        acc = (acc[:, :, None] + MATRICES[r][None]).min(1)
-    return acc
-
-
-def repair(roles: list[int], begin: int = START, end: int | None = None) -> tuple[list[int], float]:
-    """The cheapest state after each turn from begin; the last is end, or the cheapest to close."""
-    cost, back = [INF] * 4, []
-    cost[begin] = 0.0
-    tables = [m.tolist() for m in MATRICES]
+def ways(roles: list[int], cost: list[int]) -> tuple[list[int], list[list[int]]]:
+    """Least costs of the states after the turns, from costs of the states before them, and each turn's table of states before."""
+    back = []
     for r in roles:
-        m, new, way = tables[r], [INF] * 4, [0] * 4
+        m, new, way = MATRICES[r], [INF] * 4, [0] * 4
         for q in (1, 2, 3):
             for s in range(4):
                 c = cost[s] + m[s][q]
@@ -92,15 +89,59 @@ def repair(roles: list[int], begin: int = START, end: int | None = None) -> tupl
                     new[q], way[q] = c, s
         back.append(way)
         cost = new
-    if end is None:
-        end = min(range(4), key=lambda s: (cost[s] + CLOSE[s], s))
-        total = cost[end] + CLOSE[end]
-    else:
-        total = cost[end]
+    return cost, back
+
+
+def states_to(end: int, back: list[list[int]]) -> list[int]:
+    """The states after each turn, the last being end."""
     states = [end]
     for way in reversed(back[1:]):
         states.append(way[states[-1]])
-    return states[::-1][: len(roles)], float(total)
+    return states[::-1][: len(back)]
+
+
+def summary(roles: list[int]) -> tuple[list[list[int]], list[list[int]]]:
+    """Least cost from each state to each state over the turns, and for each end the order of the beginnings by their ways, last states first."""
+    cost, path = [], {}
+    for s in range(4):
+        found, back = ways(roles, [0 if k == s else INF for k in range(4)])
+        cost.append([min(c, INF) for c in found])
+        for q in (1, 2, 3):
+            path[s, q] = (states_to(q, back)[::-1], s)
+    order = [[0] * 4 for _ in range(4)]
+    for q in (1, 2, 3):
+        for k, s in enumerate(sorted(range(4), key=lambda s: path[s, q])):
+            order[s][q] = k
+    return cost, order
+
+
+def chosen(pieces: list[tuple[list[list[int]], list[list[int]]]]) -> list[tuple[int, int]]:
+    """The states in which each piece of a conversation begins and ends, from the pieces' summaries."""
+    cost, back = [(0, 0) if s == START else None for s in range(4)], []
+    for m, order in pieces:
+        new, way = [None] * 4, [0] * 4
+        for q in (1, 2, 3):
+            options = [(cost[s][0] + m[s][q] // UNIT, cost[s][1] + m[s][q] % UNIT, order[s][q], s) for s in range(4) if cost[s] is not None and m[s][q] < INF]
+            if options:
+                best = min(options)
+                new[q], way[q] = best[:2], best[3]
+        back.append(way)
+        cost = new
+    end = min((s for s in range(4) if cost[s] is not None), key=lambda s: (cost[s][0] + CLOSE[s] // UNIT, cost[s][1], s))
+    out = []
+    for way in reversed(back):
+        out.append((way[end], end))
+        end = way[end]
+    return out[::-1]
+
+
+def repair(roles: list[int], begin: int = START, end: int | None = None) -> tuple[list[int], int]:
+    """The cheapest state after each turn from begin, and the cost; the last is end, or the cheapest to close."""
+    cost, back = ways(roles, [0 if s == begin else INF for s in range(4)])
+    closes = end is None
+    if closes:
+        end = min(range(4), key=lambda s: (cost[s] + CLOSE[s], s))
+    return states_to(end, back), (cost[end] + (CLOSE[end] if closes else 0)) // UNIT
 
 
 def _escape(text: str | None) -> str:
@@ -166,30 +207,22 @@ def format_chat(spark: SparkSession, turns: DataFrame) -> DataFrame:
                 last = (part, conv, held)
         if last:
             out.append(last)
-        cost = [product([r[1] for r in h]).ravel().tolist() for _, _, h in out]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2][0][0] for o in out], pa.int64()), pa.array(cost, pa.list_(pa.float64()))], names=["part", "conv_id", "seq", "cost"])
+        found = [summary([r[1] for r in h]) for _, _, h in out]
+        flat = [pa.array([sum(f[i], []) for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2][0][0] for o in out], pa.int64()), *flat], names=["part", "conv_id", "seq", "cost", "order"])
 
     dealt = lambda *c: table.select(*c).repartition(n, "part").sortWithinPartitions("part", "seq")
-    found = dealt("part", "conv_id", "seq", "code").mapInArrow(edges, "part int, conv_id long, seq long, cost array<double>").collect()
+    found = dealt("part", "conv_id", "seq", "code").mapInArrow(edges, "part int, conv_id long, seq long, cost array<long>, order array<long>").collect()
     found.sort(key=lambda r: (r["part"], r["seq"]))
     chains: dict = {}
+    square = lambda x: [x[i : i + 4] for i in range(0, 16, 4)]
     for r in found:
-        chains.setdefault(r["conv_id"], []).append((r["part"], r["seq"], np.array(r["cost"]).reshape(4, 4)))
+        chains.setdefault(r["conv_id"], []).append((r["part"], (square(r["cost"]), square(r["order"]))))
     plan = {}
     for conv, pieces in chains.items():
-        if len(pieces) < 2:
-            continue
-        cost, back = np.full(4, INF), []
-        cost[START] = 0
-        for _, _, m in pieces:
-            way = (cost[:, None] + m).argmin(0)
-            cost = (cost[:, None] + m).min(0)
-            back.append(way)
-        end = int((cost + CLOSE).argmin())
-        for i in range(len(pieces) - 1, -1, -1):
-            begin = int(back[i][end])
-            plan[pieces[i][0], conv] = (begin, end, i == len(pieces) - 1)
-            end = begin
+        if len(pieces) > 1:
+            for i, ((part, _), (begin, end)) in enumerate(zip(pieces, chosen([m for _, m in pieces]), strict=True)):
+                plan[part, conv] = (begin, end, i == len(pieces) - 1)
 
     def render(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
