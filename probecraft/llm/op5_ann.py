@@ -2,8 +2,8 @@
 
 An inverted file is fitted on a bounded sample and indexes every vector. Vectors and queries are turned
 by one random rotation, so that a prefix of their dimensions is a fair sample of the rest. A list is
-scanned in column blocks: after each block a candidate is abandoned if its partial inner product plus Z
-standard deviations of what the remaining dimensions can add stays below the query's 20th best. Survivors
+scanned in column blocks: lengths are known, so the query's 20th best product is a distance for each candidate, and after each block a
+candidate is abandoned if the share of its distance seen so far is too large, by Z deviations, for that distance. Survivors
 are scored exactly on the original vectors in double precision.
 
 Equal vectors are one candidate with their 21 smallest vec_ids (no query can return more of them), so a
@@ -30,10 +30,12 @@ from .common import Scratch
 K, EVERY = 20, 20
 #: The sample that fits the lists, the most lists there are, k-means rounds.
 SAMPLE, MAX_LISTS, ROUNDS = 65_536, 65_536, 8
-#: Share of the lists that a query probes (PROBES at least), dimensions of a column block, deviations of the test.
-SHARE, PROBES, COLUMNS, Z = 0.62, 24, 16, 3.2
+#: Share of the lists that a query probes (PROBES at least), dimensions of a column block, deviations of the test (of a length seen in b dimensions, in units of it over the root of b).
+SHARE, PROBES, COLUMNS, Z = 0.62, 24, 16, 2.1
 #: Vectors and queries that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 4096
+#: Products with centres that a task holds at once.
+TABLE = 1 << 21
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -71,23 +73,27 @@ def scan(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, turn: np.ndarray,
     turned, asked = x @ turn, queries @ turn
     edges = [*range(0, d, COLUMNS), d]
     blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-    tail = np.sqrt(np.cumsum(np.stack([(b * b).sum(1) for b in blocks])[::-1], axis=0)[::-1])
-    first = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")[: 2 * k]
+    grown = np.cumsum(np.stack([(b * b).sum(1) for b in blocks]), axis=0)  # squared lengths up to the end of each block
+    first = np.argsort(-grown[-1], kind="stable")[: 2 * k]
     for qi, (q, t) in enumerate(zip(queries, asked, strict=True)):
         seeds = x[first] @ q
         limit = np.partition(seeds, -k)[-k] if len(seeds) >= k else -np.inf
-        rest = np.sqrt(np.cumsum((t * t)[::-1])[::-1])
+        own = np.cumsum(t * t)
         alive, partial = None, 0.0
         for i, block in enumerate(blocks):
             a, b = edges[i], edges[i + 1]
             partial = partial + (block if alive is None else block[alive]) @ t[a:b]
             if b < d:
-                bound = partial + Z * rest[b] / np.sqrt(d - b) * (tail[i + 1] if alive is None else tail[i + 1][alive])
-                if i and len(partial) > 4 * k:  # the best so far by partial products sharpen the limit exactly
+                if len(partial) > 4 * k:  # the best so far by partial products sharpen the limit exactly
                     lead = np.argpartition(partial, -k)[-k:]
                     lead = lead if alive is None else alive[lead]
-                    limit = max(limit, (x[lead] @ q).min())
-                stay = np.flatnonzero(bound >= limit)
+                    limit = max(limit, np.partition(x[lead] @ q, 0)[0])
+                if limit == -np.inf:
+                    continue
+                so_far, whole = (grown[i], grown[-1]) if alive is None else (grown[i][alive], grown[-1][alive])
+                # A product of limit is a squared distance of most; b of d turned dimensions show b / d of it, give or take.
+                most = own[-1] + whole - 2 * limit
+                stay = np.flatnonzero(own[b - 1] + so_far - 2 * partial <= most * min(1.0, (1 + Z / np.sqrt(b)) ** 2 * b / d) + 1e-9 * whole)
                 alive = stay if alive is None else alive[stay]
                 partial = partial[stay]
         found = alive if alive is not None else np.arange(len(x))
@@ -111,15 +117,22 @@ def search(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVE
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    picked = unique.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+    # A threshold on hashes draws about SAMPLE vectors where they are; nothing is sorted in one task.
+    span = 1 << 30
+    picked = unique.filter(F.pmod(F.xxhash64("uid"), F.lit(span)) <= span * min(1.0, SAMPLE / n)).select("uid", "embedding").toPandas().sort_values("uid")["embedding"]
+    if not len(picked):
+        picked = unique.orderBy("uid").limit(1).toPandas()["embedding"]
     centres = fit_lists(np.array(picked.tolist(), float), min(MAX_LISTS, max(1, isqrt(n))))
     probes = min(len(centres), max(PROBES, ceil(share * len(centres))))
     turn = rotation(centres.shape[1])
+    shared = spark.sparkContext.broadcast(centres)  # MAX_LISTS vectors at most
+    step = max(1, TABLE // len(centres))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = np.array(b.column(1).to_pylist(), float).reshape(len(b), -1)
-            own = (x @ centres.T).argmax(1) if len(b) else []
+            centres = shared.value
+            own = np.concatenate([(x[i : i + step] @ centres.T).argmax(1) for i in range(0, len(x), step)]) if len(b) else []
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["list", "uid", "v"])
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +140,13 @@ def search(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EVE
             x = np.array(b.column(1).to_pylist(), float).reshape(len(b), -1)
             if not len(b):
                 continue
-            near = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes]
-            at = np.repeat(np.arange(len(b)), probes)
-            raw = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), b.column(0).take(pa.array(at)), raw.take(pa.array(at))], names=["list", "q", "v"])
+            centres = shared.value
+            for i in range(0, len(x), step):
+                part = x[i : i + step]
+                near = np.argpartition(-(part @ centres.T), probes - 1, axis=1)[:, :probes]
+                at = pa.array(np.repeat(np.arange(len(part)), probes))
+                raw = pa.array([v.tobytes() for v in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), b.column(0).slice(i, len(part)).take(at), raw.take(at)], names=["list", "q", "v"])
 
     placed = scratch.write(unique.select("uid", "embedding").mapInArrow(place, "list int, uid long, v binary"))
     distinct_asked = asked.select("uid").distinct()
