@@ -11,7 +11,7 @@ are met, or when a bound from the gradient proves that no rates come nearer; els
 Fixed behaviour: null texts have no tokens, posteriors of the priors and the rate of their posterior; labels with null parts or
 no document teach nothing; repeated rows count each; target domains that no label has are left out and the
 rest rescaled; without any label there is one domain ``all``; empty tables give empty results; further columns are
-kept by ``mix`` (names of its own are replaced).
+kept by ``mix``, whatever their names (those of its own four are replaced); ties of a posterior go to the first domain in alphabetical order.
 """
 
 from __future__ import annotations
@@ -115,13 +115,15 @@ def posterior(model: dict) -> tuple[Column, Column]:
     return total, F.transform("_logit", lambda x: F.exp(x - most))
 
 
-def with_posterior(docs: DataFrame, model: dict) -> DataFrame:
+def with_posterior(docs: DataFrame, model: dict, texts: bool = True) -> DataFrame:
+    """docs (without their text, if texts is False) with tokens, domain and posterior. Given columns lie in a struct, apart from those of the model."""
+    given = [c for c in docs.columns if c not in OWN and (texts or c != "text")]
     logit, weight = posterior(model)
-    out = featured(docs.drop(*OWN)).withColumn("_logit", logit).withColumn("_e", weight)
+    out = featured(docs.select(F.struct(*(docs[c] for c in given)).alias("given"), "text")).withColumn("_logit", logit).withColumn("_e", weight)
     out = out.withColumn("posterior", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, y: a + y)))
     names = F.array(*map(F.lit, model["domains"]))
     out = out.withColumn("domain", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")))
-    return out.drop("_set", "_logit", "_e", *(c for c in out.columns if c.startswith("_m_")))
+    return out.select(*(F.col("given").getField(c).alias(c) for c in given), "tokens", "domain", "posterior")
 
 
 def rated(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
@@ -206,8 +208,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     """
     scratch = Scratch(spark)
     model = fit(docs, labels, scratch)
-    known = with_posterior(docs, model)
-    known = scratch.write(known if texts else known.drop("text"))
+    known = scratch.write(with_posterior(docs, model, texts))
     return rated(known, fit_rates(known.select("tokens", "posterior"), model["domains"], targets or TARGETS))
 
 
@@ -215,7 +216,8 @@ def resample(mixed: DataFrame, seed: int = 11) -> DataFrame:
     """Each row floor(rate) times, and once more with probability of the rest, drawn by hash."""
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(F.col("rate") + draw).cast("int")
-    return mixed.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    again = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
+    return mixed.select(F.struct(*(mixed[c] for c in mixed.columns)).alias("row"), F.explode(again)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -261,6 +262,45 @@ def test_bpe_odd_letters():
     assert codec.encode(word) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_bpe_of_every_code_point():
+    """Each alone between letters and doubled before a digit; combining marks meet a letter."""
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(op6_bpe.vocabulary_path()), op6_bpe.Codec(op6_bpe.vocabulary_path())
+    points = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000] + [*range(0xE0000, 0xE0200), 0x10FFFF]
+    texts = ["".join(f"a{chr(c)}a {chr(c)}{chr(c)}1 " for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+    flat, start = codec.many(texts)
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert flat[start[i] : start[i + 1]].tolist() == e.ids
+
+
+def test_merge_order_is_id_order(tmp_path):
+    import json
+
+    op7_token_files.check_merges(op7_token_files.vocabulary_path())
+    (tmp_path / "x.json").write_text(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2, "ba": 3}, "merges": ["b a", "a b"]}}))
+    with pytest.raises(ValueError):
+        op7_token_files.check_merges(str(tmp_path / "x.json"))
+
+
+def test_clashing_columns(spark):
+    """Columns with the operators' own names stay what they are."""
+    text = "a passage that occurs in both of the texts, word by word, and is long enough " * 2
+    rows = [(1, f"{text}x", 7, "c", "s", True, "g", 3, "r"), (2, f"y{text}", 8, None, "s", False, "g", 4, "r"), (None, f"{text}x", 9, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int, copy string, spans string, _set boolean, given string, _copies int, rest string")
+    out = op8_suffix_dedup.deduplicate(spark, docs)
+    assert out.columns == docs.columns
+    got_ = {r["th"]: r for r in out.collect()}
+    assert got_[7] == docs.filter("th = 7").first() and got_[9] == docs.filter("th = 9").first()
+    assert got_[8]["text"] == "y" and got_[8]["rest"] == "r" and got_[8]["_copies"] == 4
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    mixed = op10_mixing.mix(spark, docs.filter("doc_id is not null"), labels)
+    assert mixed.columns == [*docs.columns, "tokens", "domain", "posterior", "rate"]
+    assert {r["th"]: r["_set"] for r in mixed.collect()} == {7: True, 8: False}
+    again = op10_mixing.resample(mixed.withColumn("rate", F.lit(2.0)))
+    assert again.columns == mixed.columns and again.count() == 4
+
+
 def test_bpe_merger():
     vocabulary, rng = op6_bpe.Vocabulary(op6_bpe.vocabulary_path()), random.Random(2)
     words = ["".join(rng.choices("etaoinshrdlu\u00e9\u4e2d", k=rng.randint(1, 12))) for _ in range(3000)] + ["long" * 100, "x"]
@@ -370,6 +410,25 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.97 * total and {r["query_id"] for r in found} == set(range(0, 900, 20))
 
 
+def test_recall_as_registered(spark):
+    """The query itself, on clustered and on shapeless vectors, against brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 32)) * 3
+    for x in (rng.standard_normal((3000, 32)), centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 32))):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        found = {}
+        for r in op5_ann.search(spark, rows).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+            assert abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) < 1e-9
+        assert len(found) == 150
+        hit = 0
+        for q, near in found.items():
+            score = x @ x[q]
+            score[q] = -np.inf
+            hit += len(near & set(np.argsort(-score)[:20].tolist()))
+        assert hit / (20 * len(found)) >= 0.9
+
+
 def test_nearest_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in op5_ann.search(spark, few).orderBy("rank").collect()] == [(1, 2, 1.0), (2, 1, 0.0)]
@@ -388,44 +447,110 @@ def test_licenses_of_one_document(spark, docs):
     """Each licence paragraph is returned, a repeated and an unknown one too; the best stays a column of its own."""
     negatives = op1_licenses.negatives(docs)
     model = op1_licenses.Model(negatives)
-    lines = ["thing of the ation", "Released under the MIT License.", "", "This work is licensed under the GNU General Public License, version 3.", "Licensed under MIT, BSD or Apache", "Released under the MIT License.", "er"]
-    wanted = [(i, *model(x)) for i, x in enumerate(lines) if model(x)[0] != "none"]
+    lines = ["thing of the ation", "Released under the MIT License.", "", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Zephyr Public License 1.0.", "Released under the MIT License.", "er"]
+    wanted = [(i, *model.one(x)[:3]) for i, x in enumerate(lines) if model.one(x)]
     assert {"mit", "gpl", "unknown"} <= {w[1] for w in wanted} and len(wanted) >= 4
     rows = spark.createDataFrame([(1, "\n".join(lines)), (2, "er"), (3, None)], "doc_id long, text string")
     found = got(op1_licenses.scan(rows, negatives), "doc_id")
     mine = found[(1,)]["paragraphs"]
-    assert [(r["paragraph"], r["license"], r["probability"], r["similarity"]) for r in mine] == wanted and found[(1,)]["n_hits"] == len(mine)
+    assert [(r["paragraph"], r["license"], pytest.approx(r["probability"]), pytest.approx(r["similarity"])) for r in mine] == wanted and found[(1,)]["n_hits"] == len(mine)
     best = max(mine, key=lambda r: (r["confirmed"], r["probability"], -r["paragraph"]))
     assert all(best[k] == found[(1,)][k] for k in ("paragraph", "license", "probability", "similarity", "confirmed"))
     assert found[(2,)]["paragraphs"] == [] and found[(3,)]["paragraphs"] == []
 
 
+def test_licenses_in_wordings_not_seen(docs):
+    """Lead-ins that neither trained nor calibrated; licences of no family; the scan of many texts against the scoring of one paragraph."""
+    model = op1_licenses.Model(op1_licenses.negatives(docs))
+    leads = ["Published by the town under the {}.", "Everything in this folder is licensed under the {}", "We offer it under the {} only."]
+    right = total = 0
+    for family, (names, _) in op1_licenses.NAMES.items():
+        for lead in leads:
+            for name in names:
+                said = model.one(lead.format(name))
+                total += 1
+                right += bool(said and said[0] == family)
+                assert not said or said[0] in (family, "unknown") or not said[3] or family in ("gpl", "agpl", "lgpl", "cc-by", "cc-by-nc", "cc-by-sa", "cc0")
+    assert right / total > 0.85
+    strangers = ["Zephyr Public License 1.0", "Harbour Community License", "NASA Open Source Agreement", "CeCILL", "Q Public License", "Ruby License"]
+    assert all(not (said := model.one(lead.format(x))) or (said[0] == "unknown" and not said[3]) for x in strangers for lead in leads)
+    assert not any(map(model.one, ["The driver has a license.", "A public path under the old wall.", "", "2.0", "General terms of the lesser foundation"]))
+    rng = random.Random(3)
+    pool = [lead.format(n) for lead in leads for n, _ in ((x, 0) for ns, _ in op1_licenses.NAMES.values() for x in ns)] + [sentence(rng, "en", 9), "", "All rights reserved.", "  ", "é"]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(60)] + ["", "\n", "MIT License " * 30_000]
+    found = model.scan(texts)
+    for i, t in enumerate(texts):
+        wanted = [(k, said) for k, x in enumerate(t.split("\n")) if (said := model.one(x))]
+        assert [(k, f, ok) for k, f, _, _, ok in found.get(i, [])] == [(k, f, ok) for k, (f, _, _, ok) in wanted]
+        assert np.allclose([m[2:4] for m in found.get(i, [])], [w[1:3] for _, w in wanted])
+
+
 def cheapest(roles):
-    """Every legal placement of the turns by exhaustive search."""
-    best = {op2_chat.START: 0.0}
-    for r in roles:
-        new = {}
-        for s, c in best.items():
-            for q in (1, 2, 3):
-                v = c + op2_chat.MATRICES[r][s, q]
-                new[q] = min(v, new.get(q, float("inf")))
-        best = new
-    return min(c + op2_chat.CLOSE[s] for s, c in best.items())
-
-
-def test_role_repair():
+    """The best of all assignments of roles to the turns, by the rules of a legal conversation written out once more."""
+    follows = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
+    best = None
+    for states in product((1, 2, 3), repeat=len(roles)):
+        before, cost, changed = 0, 0, 0
+        for role, state in zip(roles, states, strict=True):
+            cost += 2 * (role != state)
+            if before == state:
+                cost, changed = cost + 1, changed + 1
+            else:
+                changed += role != state
+                if (before, state) not in follows:
+                    between = [x for x in (1, 2, 3) if (before, x) in follows and (x, state) in follows]
+                    if not between:
+                        break
+                    cost += 3
+            before = state
+        else:
+            cost += 3 * {1: 2, 2: 1, 3: 0}[before]
+            best = min(best or (cost, changed, states[::-1]), (cost, changed, states[::-1]))
+    return best
+
+
+def test_role_repair_is_the_best_however_cut():
+    for n in range(1, 6):
+        for roles in product(range(4), repeat=n):
+            cost, _, states = cheapest(roles)
+            assert op2_chat.repair(list(roles)) == (list(states[::-1]), cost)
+            if n < 4:
+                continue
+            for cuts in ((1,), (2,), (n - 1,), (1, 3), (2, 3)):
+                pieces = [list(roles[a:b]) for a, b in zip((0, *cuts), (*cuts, n), strict=True)]
+                plan = op2_chat.chosen([op2_chat.summary(p) for p in pieces])
+                got_ = [op2_chat.repair(p, begin, end)[0] for p, (begin, end) in zip(pieces, plan, strict=True)]
+                assert sum(got_, []) == list(states[::-1])
+
+
+def test_repaired_turns_are_legal():
     rng = random.Random(2)
     for _ in range(200):
-        roles = rng.choices(range(4), k=rng.randint(1, 7))
-        states, cost = op2_chat.repair(roles)
-        assert cost == cheapest(roles)
-        m = op2_chat.product(roles)[op2_chat.START] + op2_chat.CLOSE
-        assert m.min() == cost
+        roles = rng.choices(range(4), k=rng.randint(1, 9))
+        states, _ = op2_chat.repair(roles)
         turns = [x for x in op2_chat.fragments([(i, r, "t") for i, r in enumerate(roles)], states, op2_chat.START, True)]
         kept = [x[2] for x in turns if x[1] not in ("merge", "end")]
         assert re.fullmatch("(system )?(user assistant )+", "".join(f"{k} " for k in kept))
 
 
+def test_chat_is_alike_in_all_partitions(spark):
+    """Conversations over many partitions, repeated rows, a very long text, rows without conv_id."""
+    rng = random.Random(6)
+    data = [(c, t, rng.choice(["system", "user", "assistant", "bot", None]), f"t{t}") for c in (1, 2, 3, None) for t in range(40)]
+    data += [(5, 0, "user", "w " * 200_000)] * 2
+    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = op2_chat.format_chat(spark, turns).collect()
+            found.append({c: "".join(r["fragment"] for r in sorted((r for r in rows if r["conv_id"] == c), key=lambda r: r["pos"])) for c in (1, 2, 3, 5, None)})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] == found[2] and found[0][5].count("w ") == 400_000
+
+
 def test_chat_format(spark):
     data = [(1, 0, "user", "hi"), (1, 1, "user", "there"), (1, 2, "assistant", "<|im_end|>"), (2, 0, "assistant", None), (3, 5, None, "x"), (4, None, "bot", "y")]
     data += [(9, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(300)]
