@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import gram_text, grams, tokenize
+from ..sources.store import kept
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -230,7 +231,7 @@ def search(chunks: DataFrame, questions: DataFrame, embed, policy: RetrievalPoli
     """
     policy = policy or RetrievalPolicy()
     asked = questions.select("qid", F.col("question").alias("text"))
-    vectors = embed(chunks.select("text").unionByName(asked.select("text")).distinct())
+    vectors = kept(embed(chunks.select("text").unionByName(asked.select("text")).distinct()))
     placed = chunks.select("chunk_id", "text").join(vectors, "text").select("chunk_id", "vec")
     asked = asked.join(vectors, "text").select("qid", "vec")
     gone = None if removed is None else removed_chunks(chunks, removed)
@@ -247,7 +248,7 @@ def search(chunks: DataFrame, questions: DataFrame, embed, policy: RetrievalPoli
     fused = fuse(bm25(chunks, questions, policy.candidates, gone), dense(near, moments, policy))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "seq", "chunk_id")
     size = max(policy.candidates, policy.top_k)
-    pool = expand(fused, chunks, policy).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).withColumn("place", F.col("place") - 1)
+    pool = kept(expand(fused, chunks, policy).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).withColumn("place", F.col("place") - 1))
     mine = asked.withColumnRenamed("vec", "asked")
     full = pool.join(placed.withColumnRenamed("vec", "vector"), "chunk_id").join(mine, "qid").withColumn("relevance", dot(F.col("asked"), F.col("vector")))
     picked = diversify(full.select("qid", "chunk_id", "place", "relevance", "promoted", "vector", "score"), policy)
