@@ -56,6 +56,13 @@ class Scratch:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
+    def keep(self, *read: DataFrame) -> None:
+        """Delete all tables but those that one of these plans reads."""
+        folders = {f.rsplit("/", 2)[-2] for df in read for f in df.inputFiles()}
+        for path, df in list(self.paths.values()):
+            if path.rsplit("/", 1)[-1] not in folders:
+                self.drop(df)
+
 
 def partitions(spark: SparkSession, source: DataFrame | None = None, mb: int = 12) -> int:
     """Tasks of a shuffle: the session's number, or more if the files that source reads exceed mb MB for each."""

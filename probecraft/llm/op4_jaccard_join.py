@@ -246,7 +246,8 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     The second has the class's shingles that others have too, sorted, and the rarest of them.
     """
-    docs = settled(docs.select("doc_id", "text"), scratch)
+    given = docs.select("doc_id", "text")
+    docs = settled(given, scratch)
     n_parts = partitions(docs.sparkSession, docs, 64)
     buckets = max(n_parts, -(-file_bytes(docs) // (BUCKET_MB << 20)))
 
@@ -303,7 +304,9 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     met = dealt.withColumn("k", key).repartition(n_parts, "k").sortWithinPartitions("bucket").select(*WIDE)
     mixed = scratch.write(met.mapInArrow(private_or_shared, DEALT_WIDE))
-    documents = mixed.filter("data is null").select("doc_id", "n", "cls")
+    if docs is not given:
+        scratch.drop(docs)
+    documents = scratch.write(mixed.filter("data is null").select("doc_id", "n", "cls"))
 
     def assemble(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         number, shingle, rarity, size = arrays
@@ -324,7 +327,9 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     near = gathered(mixed.filter("data is not null").select("bucket", "data"), n_parts, assemble, "number long, n long, shared binary, prefix array<long>")
     # A class that several tasks dealt has one number of each; one of them stays.
     names = mixed.filter("number is not null").groupBy("cls").agg(F.min("number").alias("number"))
-    return documents, scratch.write(near.join(names, "number").select("cls", "n", "shared", "prefix"))
+    near = scratch.write(near.join(names, "number").select("cls", "n", "shared", "prefix"))
+    scratch.drop(mixed)  # its shingles take more than half as much as the texts
+    return documents, near
 
 
 WIDE = ["bucket", "data", "doc_id", "n", "cls", "number"]
@@ -429,6 +434,7 @@ def find_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     """(doc_id, n, cls) and (cls, component): the classes with links and the smallest class they reach."""
     documents, near = classes(docs, scratch)
     rows = blocks_of(near, scratch)
+    scratch.drop(near)
 
     def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _grouped(it):
@@ -527,6 +533,7 @@ def links(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark)
     documents, near = classes(docs, scratch)
     rows = blocks_of(near, scratch)
+    scratch.keep(documents, rows)
 
     def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _grouped(it):
@@ -544,12 +551,15 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     scratch = Scratch(spark)
     documents, linked_classes = find_components(docs, scratch)
+    scratch.keep(documents, linked_classes)
     # One row for each class of several documents or with links; all joins before the last are of such rows.
     each = documents.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     each = each.join(linked_classes, "cls", "left").filter("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "cls"))
     each = scratch.write(each.select("cls", "rows", "least", "component"))
     least = each.groupBy("component").agg(F.min("least").alias("smallest"))
     named = scratch.write(each.join(least, "component").select("cls", "rows", "smallest"))
+    # What else is left here would take disk from the stages that follow.
+    scratch.keep(documents, named)
     out = spread_join(documents, named, "cls", "rows", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
 

@@ -1,12 +1,14 @@
 """The corpus pipeline, stage by stage, against brute force on what each stage was given."""
 
 import hashlib
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
-from probecraft.llm import op6_bpe, op9_quality_rules, op10_mixing
+from probecraft.llm import op4_jaccard_join, op6_bpe, op9_quality_rules, op10_mixing
+from probecraft.llm.common import Scratch, shared_dir
 
 from test_operators import jaccard_truth, sentence, suffix_truth
 
@@ -79,6 +81,29 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == seen["bpe"]
 
 
+def test_jaccard_stage_leaves_only_what_its_result_reads(spark, folder):
+    """Tables that the stage leaves in the shared folder count as disk of all later stages."""
+    top = f"{shared_dir(spark).removeprefix('file://')}/probecraft"
+    os.makedirs(top, exist_ok=True)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    truth = {i: c for i, (_, c) in jaccard_truth([tuple(r) for r in docs.collect()]).items()}
+    for given in (docs, docs.distinct()):
+        before = set(os.listdir(top))
+        out = op4_jaccard_join.stage(spark, given, folder)
+        left = set(os.listdir(top)) - before
+        assert left and left <= {f.split("/")[-2] for f in out.inputFiles()}
+        assert not any("binary" in dict(spark.read.parquet(f"{top}/{x}").dtypes).values() for x in left)
+        assert {r["doc_id"] for r in out.collect()} == {i for i, c in truth.items() if i == c}
+
+
+def test_scratch_keeps_what_plans_read(spark):
+    scratch = Scratch(spark)
+    a, b, c = (scratch.write(spark.range(n)) for n in (3, 4, 0))
+    scratch.keep(a.join(c, "id", "left_anti"))
+    assert a.join(c, "id", "left_anti").count() == 3
+    assert {id(x) for x in (a, c)} == set(scratch.paths) and id(b) not in scratch.paths
+
+
 def test_host_verdict_drops_documents(spark, tmp_path):
     """A host whose documents mostly fail loses those that pass as well; one with few failures loses none of them."""
     rng, rows = random.Random(2), []
